@@ -124,13 +124,15 @@ class Coder:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Coder | None:
-    """A coder for the values of ``lang``; None if no text has a label.
+    """A coder for the values of ``lang``; None if no text has one.
 
     The sample is bounded by ``sample``, so that fitting on the driver costs
     the same at every size: ids are ordered by their hash (two narrow columns),
     and only the texts of those chosen leave the executors.
     """
     plain, at = numbered(docs)
+    if "lang" not in at:
+        return None
     rows = plain.where(F.col(at["doc_id"]).isNotNull() & F.col(at["lang"]).isNotNull()).select(F.col(at["doc_id"]).cast("bigint").alias("doc_id"), F.col(at["lang"]).cast("string").alias("lang"), F.coalesce(F.col(at["text"]).cast("string"), F.lit("")).alias("text"))
     chosen = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     if not chosen:
