@@ -182,6 +182,9 @@ class Bpe:
                     at = at[(i - np.maximum.accumulate(np.where(head, i, 0))) % 2 == 0]
             gone = nxt[at]
             after = nxt[gone]
+            beside = np.flatnonzero(after[:-1] == at[1:])  # neighbours that merge in the same step: the right one's first half would be met before
+            if len(beside) and (low := self.rank(np.full(len(beside), r), sym[after[beside]]) < r).any():
+                odd.append(at[beside[low]])
             sym[at] = r
             nxt[at] = after
             prv[after] = at
