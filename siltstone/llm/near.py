@@ -144,23 +144,77 @@ def _sketch(batches):
         yield rows_of(held)
 
 
-def _agreement(a, b, least: float):
-    """Whether two columns of signatures agree in enough coordinates, those of unlike darts that have one byte by chance taken off."""
-    from pyspark.sql.functions import pandas_udf
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities from bytes of signatures; unlike darts share a byte by chance, which is taken off."""
+    return ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
-    @pandas_udf("boolean")
-    def similar(x, y):
-        import pandas as pd
 
-        k = BANDS * ROWS
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        p = np.frombuffer(b"".join(x), np.uint8).reshape(-1, k)
-        q = np.frombuffer(b"".join(y), np.uint8).reshape(-1, k)
-        s = ((p == q).mean(1) - 1 / 256) / (1 - 1 / 256)
-        return pd.Series(s >= least)
+def forest(sig: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph of pairs at least so similar.
 
-    return similar(a, b)
+    Grows each component from its first member: whoever has joined is compared
+    with those who haven't, so that copies of one text cost one comparison
+    each, and only members that are alike to nobody meet all others.
+    """
+    edges: list[tuple[int, int]] = []
+    rest = np.arange(len(sig))
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            if len(front) <= len(rest):
+                f, front = front[0], front[1:]
+                hit = estimate(sig[rest], sig[f]) >= least
+                edges += [(int(r), int(f)) for r in rest[hit]]
+                front, rest = np.append(front, rest[hit]), rest[~hit]
+            else:
+                hit = np.zeros(len(rest), bool)
+                for i, r in enumerate(rest):
+                    alike = np.flatnonzero(estimate(sig[front], sig[r]) >= least)
+                    if len(alike):
+                        hit[i] = True
+                        edges.append((int(r), int(front[alike[0]])))
+                front, rest = rest[hit], rest[~hit]
+    return edges
+
+
+def _buckets(least: float):
+    """Rows (band, doc_id, sig) sorted by band to edges; a bucket may reach over batches."""
+
+    def solve(band, doc, sig):
+        first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        size = np.diff(np.append(first, len(band)))
+        lead = np.repeat(first, size)
+        alike = estimate(sig, sig[lead]) >= least
+        a, b = doc[alike], doc[lead[alike]]
+        more: list[tuple[int, int]] = []
+        for at in np.unique(lead[~alike]).tolist():
+            n = int(size[np.searchsorted(first, at)])
+            more += [(int(doc[at + i]), int(doc[at + j])) for i, j in forest(sig[at : at + n], least)]
+        if more:
+            a, b = np.append(a, [x for x, _ in more]), np.append(b, [y for _, y in more])
+        on = a != b
+        pairs = np.unique(np.stack([np.maximum(a, b)[on], np.minimum(a, b)[on]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def run(batches):
+        k = BANDS * ROWS
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = batch.column(2)
+            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(-1, k)))
+            if held[-1][0][-1] != held[0][0][0]:
+                band, doc, sig = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(band, band[-1])) if band[0] <= band[-1] else len(band)
+                if cut:
+                    yield solve(band[:cut], doc[:cut], sig[:cut])
+                held = [(band[cut:].copy(), doc[cut:].copy(), sig[cut:].copy())]
+        if held and len(held[0][0]):
+            yield solve(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -203,11 +257,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     One pass over the texts writes 144 bytes of signature and the band hashes
     of each document.  Equal signatures are collapsed first, so that thousands
-    of exact copies meet in one aggregation.  In each band's bucket the members
-    are compared with the least id (a star, linear in the bucket, no cap);
-    members unlike it form a bucket again, until none is left over.
+    of exact copies meet in one aggregation.  Band hashes are counted without
+    signatures, and only documents that share one go on.  A bucket's members
+    are compared with its first, all buckets at once; where that leaves some
+    out, the bucket's components are grown (``forest``).  No bucket is capped.
     """
-    spark = docs.sparkSession
     sketches = materialize(texts(docs).mapInArrow(_sketch, _SKETCH).where("whole <> 0 or n > 0"), "sketch")
 
     # Equal signatures, or equal texts where there are no words: one node, named by its least id.
@@ -217,25 +271,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     exact = keyed.join(firsts.where("node <> last"), ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = firsts.select("node")
 
-    signed = materialize(sketches.join(nodes, sketches["doc_id"] == nodes["node"], "left_semi").where("n > 0").select("doc_id", "sig", "bands"), "nodes")
-    sigs = signed.groupBy("doc_id").agg(F.min("sig").alias("sig"))
+    signed = materialize(sketches.join(nodes, sketches["doc_id"] == nodes["node"], "left_semi").where("n > 0").groupBy("doc_id").agg(F.min_by(F.struct("sig", "bands"), "sig").alias("s")).select("doc_id", "s.sig", "s.bands"), "nodes")
     rows = signed.select("doc_id", F.explode("bands").alias("band"))
-    edges, turn = [exact], 0
-    while True:
-        lead = rows.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("band", "leader")
-        members = materialize(rows.join(lead, "band").where("doc_id <> leader"), "members")
-        pairs = members.select("doc_id", "leader").distinct()
-        s = pairs.join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("leader"), F.col("sig").alias("other")), "leader")
-        judged = materialize(s.select("doc_id", "leader", _agreement("sig", "other", similarity - SLACK).alias("alike")), "judged")
-        edges.append(judged.where("alike").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
-        unlike = judged.where("not alike")
-        if unlike.isEmpty():
-            break
-        rows = members.join(unlike, ["doc_id", "leader"], "left_semi").select("doc_id", "band")
-        turn += 1
-    joined = edges[0]
-    for e in edges[1:]:
-        joined = joined.union(e)
+    shared = rows.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("band")
+    members = rows.join(shared, "band").join(signed.select("doc_id", "sig"), "doc_id").select("band", "doc_id", "sig")
+    alike = members.repartition("band").sortWithinPartitions("band").mapInArrow(_buckets(similarity - SLACK), "a bigint, b bigint")
+    joined = exact.union(alike)
     found = components(joined, "edges")
     sizes = found.groupBy("root").agg((F.count("*") + 1).alias("group_size"))
     members = found.union(sizes.select("root", F.col("root").alias("root2")))
