@@ -1,0 +1,47 @@
+"""Tables written to the folder that the cluster shares between executors, to cut lineage."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a temporary folder and a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not getattr(shared_dir, "own", None):
+        shared_dir.own = tempfile.mkdtemp(prefix="siltstone-")
+    return "file://" + shared_dir.own
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup() -> None:
+    """Deletes every table that materialize() wrote in this process; results built on them can't be read any more."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is over
+            return
+
+
+atexit.register(cleanup)
