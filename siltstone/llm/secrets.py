@@ -69,7 +69,7 @@ def candidates(buf: np.ndarray, off: np.ndarray, least: int = LEAST):
     on = (has[0] > 0) | ((has[1] > 1) & (has[2] > 1))
     # a run that goes on in letters outside ASCII is a part of a word
     wide = np.concatenate([buf >= 128, [False]])
-    on &= ~wide[e] & ~(wide[s - 1] & (s > 0))
+    on &= ~(wide[e] & (e < off[doc + 1])) & ~(wide[s - 1] & (s > off[doc]))
     return s[on], full[on], doc[on]
 
 
