@@ -18,9 +18,10 @@ from siltstone.llm.docs import texts, without
 RANK, OVERSAMPLING, POWER = 256, 16, 2
 #: Words of the passages that items are cut into, and of the windows over documents (each for items at least so long).
 PASSAGE = 64
-SCALES = (8, 16, 32)
-#: Least cosine of a candidate window, as a share of what the latent space keeps of the item.
-COSINE = 0.45
+SCALES = (1, 2, 4, 8, 16, 32)
+#: Least cosine of a candidate window, as a share of what the latent space keeps of the item.  A window of 32 words, an eighth of
+#: it off the passage, that has half of a passage of 64 words has 0.31 of words of equal weight.
+COSINE = 0.3
 #: Least share of an item's words in order: alone, and together with the answer.
 COPIED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.75
 #: Words of benchmark items that are sent to the executors at once; more items are searched slice by slice.
@@ -82,7 +83,7 @@ def slices(items: list[tuple[int, str]], most: int = SLICE_WORDS) -> Iterator[Sl
                     p = w[at : at + PASSAGE]
                     own.append(k)
                     passages.append(p)
-                    scale.append(max([s for s in SCALES if s <= len(p)], default=SCALES[0]))
+                    scale.append(max(s for s in SCALES if s <= len(p)))
             yield Slice([g[0] for g in got], [g[1] for g in got], [g[2] for g in got], np.array(own), np.array(scale), passages, np.unique(np.concatenate([g[1] for g in got])))
             got, size = [], 0
         if i is not None and len(h):
@@ -191,8 +192,8 @@ def prepare(docs: DataFrame, part: Slice, rank: int = RANK) -> Slice:
 
 
 def windows(s: Slice, at: np.ndarray, woff: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the windows of a scale, half overlapping, in which benchmark words have enough weight for the cosine to be reached."""
-    step = scale // 2
+    """(starts, ends) of the windows of a scale, a quarter of it apart, in which benchmark words have enough weight for the cosine to be reached."""
+    step = max(1, scale // 4)
     n = np.diff(woff)
     count = np.where(n > 0, np.maximum(1, -(-(n - scale) // step) + 1), 0)
     off = np.concatenate([[0], np.cumsum(count)])
@@ -302,8 +303,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
     Words are runs of letters and digits, ASCII case aside.  Items are cut into
     passages of up to 64 words, weighted by TF-IDF with frequencies counted
     over all documents, and a randomised SVD of their matrix gives the latent
-    space.  Windows over each document's words, half overlapping and as long as
-    the passages ask for, are projected, and those whose cosine to a passage is
+    space.  Windows over each document's words, as long as the passages ask for
+    and a quarter of that apart, are projected, and those whose cosine to a passage is
     high are candidates.  A candidate is reported if the longest common
     subsequence of item and stretch holds 3/4 of the item's words (a copy), or
     half of them and 3/4 of the answer's (a paraphrase); the answer is the
