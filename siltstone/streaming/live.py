@@ -26,9 +26,12 @@ def watch(spark: SparkSession, folder: str, schema: str = "rel_path string, ts t
 
 
 def debounce_stream(changes: DataFrame, gap: str = "300 milliseconds", late: str = "1 second") -> DataFrame:
-    """(started, ended, n): bursts of changes closer than the gap.  The watermark is ours; sessions close when it has passed."""
+    """(started, ended, n): bursts of changes closer than the gap.  The watermark is ours; sessions close when it has passed.
+
+    Streams have no sessions without a key, so that all changes get an empty one.
+    """
     x = changes.where(triggers_reindex("rel_path")).withWatermark("ts", late)
-    return x.groupBy(F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select(F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n")
+    return x.groupBy(F.substring("rel_path", 1, 0).alias("k"), F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select(F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n")
 
 
 def debounce(changes: DataFrame, gap_micros: int = 300_000, slot_micros: int = 3_600_000_000) -> DataFrame:
