@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import deltas, handoff, history, lines, messages, ordering, packing, reports, risk
+from siltstone.operators import deltas, handoff, history, lines, messages, ordering, packing, reports, risk, syntax
 from siltstone.plans.dialect import Duck, Sql, trim
 from siltstone.sources import tables as S
 from siltstone.sources.shared import materialize
@@ -735,3 +735,20 @@ def savings_counter(spark, sf):
     return live.savings(S.table(spark, sf, "events").select("ts", F.col("value").alias("saved")))
 
 
+
+
+# ---------------------------------------------------------------- syntax: no SQL form, held against written-out results in the tests
+
+
+@query()
+def ast_ir(spark, sf):
+    """Syntax walks of all files in deep languages."""
+    x = syntax.with_syntax(S.code_files(spark, sf).where(lines.language("path").isNotNull()).select("path", "code"))
+    return x.select("path", "engine", syntax.l1_syntax("path", "ir", "code").alias("l1"))
+
+
+@query()
+def symbol_diff(spark, sf):
+    """Symbols that change if every fifth function gets another name."""
+    x = S.code_files(spark, sf).where("ext = '.ts'").select("path", "code")
+    return syntax.symbol_diff(x, x.withColumn("code", F.regexp_replace("code", r"function run(\d*5)\b", "function walk$1")))
