@@ -12,6 +12,8 @@ from siltstone.llm.docs import texts
 
 #: Tokens of a window; a repeated passage of at least so many is found.
 WINDOW = 50
+#: Bytes of input for each bucket, which is counted in one worker's memory (about ten times so much).
+BUCKET = 16 << 20
 
 _R = K.U64(0xC2B2AE3D27D4EB4F | 1)
 _RINV = K.U64(pow(int(_R), -1, 1 << 64))
@@ -60,6 +62,7 @@ def _spread(w: int, buckets: int):
 
     def run(batches):
         held, size = [], 0
+        most = min(1 << 24, max(1 << 20, 32 * buckets))  # so that a row has windows enough
         for batch in batches:
             ids, _ = K.ids_of(batch.column(0))
             for lo, hi, buf, off in K.blocks(*K.text_buffers(batch.column(1))):
@@ -69,7 +72,7 @@ def _spread(w: int, buckets: int):
                     n = np.diff(woff)
                     held.append((g, np.repeat(ids[lo:hi], n), (np.arange(len(g)) - np.repeat(woff[:-1], n)).astype(np.uint32)))
                     size += len(g)
-                if size > 1 << 20:
+                if size > most:
                     yield rows_of(held)
                     held, size = [], 0
         if held:
@@ -141,6 +144,11 @@ def _merge(w: int):
     return run
 
 
+def _bytes_of(docs: DataFrame) -> int:
+    """The optimizer's estimate of the input's size, at most 64 TB: joins before this can make it absurd."""
+    return min(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 46)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, groups: int | None = None) -> DataFrame:
     """Passages of ``window`` or more tokens that are there more than once: (doc_id, start_token, end_token, n_tokens, removed).
 
@@ -157,14 +165,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, groups: int | None = None) ->
     result.
 
     Windows travel once, about nine bytes each: a map task sends one packed row
-    to each of ``groups`` buckets of hashes, which are counted there with numpy.
+    to each of ``groups`` buckets of hashes, which are counted there with numpy;
+    by default there are as many as shuffle partitions, and more if the input
+    is larger than 16 MB for each.
     Buckets are by hash, so that a passage with thousands of copies adds to
     each of its windows' buckets alike; only repeated windows are sent back to
     be merged by document.
     """
     spark = docs.sparkSession
     plain = texts(docs)
-    n = groups or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = groups or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes_of(docs) // BUCKET))
     parts = plain.mapInArrow(_spread(window, n), _PART)
     found = parts.groupBy("bucket").applyInArrow(_count, _FOUND)
     by_doc = found.repartition("doc_id").sortWithinPartitions("doc_id")
