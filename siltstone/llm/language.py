@@ -13,12 +13,14 @@ from siltstone.llm import kernels as K
 from siltstone.llm.docs import numbered, texts
 
 #: At most so many labelled documents are fitted on, the first by the hash of their id; whole texts of them all.
-SAMPLE = 2000
+SAMPLE = 1000
 BITS = 14
 ORDERS = (2, 3, 4)
 #: Decoding losses of the best two codewords that differ by less than this share of the best possible leave a document ambiguous.
 GAP = 0.10
 MIN_GRAMS = 3
+#: Bytes of sample text that the driver works on at once.
+FIT_BLOCK = 1 << 18
 SCHEMA = "doc_id bigint, lang string, n_grams bigint, gap double, ambiguous boolean, accepted boolean"
 
 #: Letters folded to small ones; anything else ASCII ends a word.
@@ -78,11 +80,8 @@ class Coder:
         counts = np.zeros((len(langs), len(ORDERS) << BITS))
         buf, off = K.text_buffers(pa.array(docs, pa.large_string()))
         which = np.array([langs.index(x) for x in of])
-        each = []
-        for lo, hi, b, o in K.blocks(buf, off):
-            f = features(b, o)
-            each.append((which[lo:hi], f))
-            for idx, goff in f:
+        for lo, hi, b, o in K.blocks(buf, off, FIT_BLOCK):
+            for idx, goff in features(b, o):
                 lang = np.repeat(which[lo:hi], np.diff(goff))
                 counts += np.bincount(lang * counts.shape[1] + idx, minlength=counts.size).reshape(counts.shape)
         p = np.empty_like(counts)
@@ -96,8 +95,9 @@ class Coder:
         self.w = np.ascontiguousarray(np.stack(w, 1).astype(np.float32))
         right = np.zeros(self.code.shape)
         seen = np.zeros(len(langs))
-        for lang, f in each:
-            margin, _ = self.margins(f, len(lang))
+        for lo, hi, b, o in K.blocks(buf, off, FIT_BLOCK):  # n-grams again rather than kept: the driver's memory stays small
+            lang = which[lo:hi]
+            margin, _ = self.margins(features(b, o), len(lang))
             for i in range(len(langs)):
                 m = margin[lang == i]
                 right[i] += (m * self.code[i] > 0).sum(0)
