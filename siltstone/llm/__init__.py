@@ -1,7 +1,7 @@
 """Operators for preparing training text. Nothing outside this subpackage imports it.
 
-Conventions shared by all ten operators
----------------------------------------
+Conventions shared by all ten operators:
+
 * Input is a DataFrame with an integer ``doc_id`` and a string ``text``; every
   other column is ignored, whatever its name, and never collides with an
   internal one because the two needed columns are selected first.
