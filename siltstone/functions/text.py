@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.plans.dialect import SparkText, trim
 
 #: Signs that are a token each; runs of anything else but white space are tokens too.
-SIGNS = "{}()[];,.:=<>!&|?+-*/^~@#$%\\"
+SIGNS = "()[]{}<>.,:;!?&|=+-*/\\^~@#$%"
 _CLASS = "".join("\\" + c for c in SIGNS)
 TOKEN = f"[{_CLASS}]|[^\\s{_CLASS}]+"
 FIX_WORDS = ("fix", "bugfix", "hotfix", "patch", "resolve", "bug")
@@ -39,7 +39,7 @@ def collapse_text(text, most: int) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most - 3), F.lit("..."))).otherwise(x)
 
 
-LITERAL = r'"(?:[^"\\]|\\.)*"' + "|" + r"'(?:[^'\\]|\\.)*'"
+LITERAL = "|".join(q + rf"(?:\\.|[^\\{q}])*" + q for q in "\"'")
 
 
 def collapse_expr(text, most: int) -> Column:

@@ -10,7 +10,8 @@ from siltstone.functions.text import annotate, col
 from siltstone.operators.lines import rule_of, text_of
 from siltstone.plans.dialect import SparkText, trim
 
-HUNK = r"^@@ -\d+,?\d* \+(\d+),?\d* @@"
+_COUNT = "(?:,[0-9]+)?"
+HUNK = "^@@ -[0-9]+" + _COUNT + " [+]([0-9]+)" + _COUNT + " @@"
 
 
 def hunks(diff: DataFrame) -> DataFrame:

@@ -14,10 +14,11 @@ from siltstone.functions.text import col, token_count
 from siltstone.plans.dialect import SparkText, bare, rx, squeeze, trim
 from siltstone.plans.once import once
 
-DEEP = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".go", ".rs")
-GENERIC = (".c", ".h", ".cc", ".cpp", ".cxx", ".hpp", ".hh", ".hxx", ".java", ".kt", ".kts", ".scala", ".cs", ".swift", ".m", ".mm", ".php")
-UNSUPPORTED = (".rb", ".lua", ".dart", ".ex", ".sh", ".pl", ".r")
-LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".py": "python", ".go": "go", ".rs": "rust"}
+_EXTENSIONS = {"go": "go", "javascript": "js jsx mjs", "python": "py", "rust": "rs", "typescript": "ts tsx"}
+LANGUAGES = {"." + e: name for name, es in _EXTENSIONS.items() for e in es.split()}
+DEEP = tuple(LANGUAGES)
+GENERIC = tuple("." + e for e in "c cc cpp cs cxx h hh hpp hxx java kt kts m mm php scala swift".split())
+UNSUPPORTED = tuple("." + e for e in "dart ex lua pl r rb sh".split())
 
 #: (kind, words a first token starts with); the first hit counts.
 KINDS = (
@@ -116,7 +117,7 @@ RULES = [
     (rx(r"^¢·¤°=°(async·)?\(([^)]*)\)°=>°(.*)$"), 0.9, _arrow("")),
     (rx(r"^°get·¤°\(\)°" + _fn_tail + "£"), 0.9, lambda d, g, x: d.cat("GET:", g(1), "()")),
     (rx(r"^°set·¤°\(([^)]*)\)°£"), 0.9, lambda d, g, x: d.cat("SET:", g(1), _params(d, g(2)))),
-    (rx(r"^°(?:async·)?¤°\(([^)]*)\)°" + _fn_tail + r"\{°$"), 0.9, lambda d, g, x: d.choose([(d.member(g(1), ("if", "for", "while", "switch", "catch", "function")), g(1))], d.cat("METHOD:", g(1), _params(d, g(2))))),
+    (rx(r"^°(?:async·)?¤°\(([^)]*)\)°" + _fn_tail + r"\{°$"), 0.9, lambda d, g, x: d.choose([(d.member(g(1), "catch for function if switch while".split()), g(1))], d.cat("METHOD:", g(1), _params(d, g(2))))),
     (rx(r"^¢·\{([^}]+)\}°=°(.+)¶"), 0.9, lambda d, g, x: d.cat("VAR:{", squeeze(d, g(1)), "} = ", _clean(d, g(2)))),
     (rx(r"^¢·\[([^\]]+)\]°=°(.+)¶"), 0.9, lambda d, g, x: d.cat("VAR:[", squeeze(d, g(1)), "] = ", _clean(d, g(2)))),
     (rx(r"^(?:export·)?" + _given + "(.+)¶"), 0.85, lambda d, g, x: d.cat(_maybe_out(d, x), "VAR:", g(1), " = ", _clean(d, g(2)))),
@@ -166,12 +167,12 @@ def fingerprint_file(code, least: float = 0.6) -> Column:
 
 
 #: Statements that call, rather than declare.
-CONTROL = ("if", "for", "while", "switch", "catch", "return", "sizeof", "else", "do", "case", "default", "throw", "new", "delete", "co_await")
+CONTROL = tuple("case catch co_await default delete do else for if new return sizeof switch throw while".split())
 _MODIFIERS = "(?:" + "|".join(("public", "private", "protected", "final", "abstract", "static", "sealed", "export", "pub")) + ")"
-TYPE = rx(r"^(?:template°<[^>]*>°)?(?:" + _MODIFIERS + r"·)*(class|struct|interface|enum|trait|union|record)(?:·(?:class|struct))?·¤([^{;]*)")
+TYPE = rx(r"^(?:template°<[^>]*>°)?(?:" + _MODIFIERS + r"·)*(class|enum|interface|record|struct|trait|union)(?:·(?:class|struct))?·¤([^{;]*)")
 _TRAILERS = "|".join([*(w + r"\b" for w in ("const", "noexcept", "override", "final", "mutable")), r"throws\b[^{;]*", "->[^{;]*", ":[^{;]*"])
-FUNCTION = rx(r"(?:^|[\s*&>:~])([A-Za-z_]\w*)°\([^;{]*\)°(?:°(?:" + _TRAILERS + r"))*°([{;])°$")
-BASE = rx(r"(?::|extends|implements)°([\w:,<>\s.]+)")
+FUNCTION = rx(r"(?:[\s~:>&*]|^)([_a-zA-Z]\w*)°\([^;{]*\)°(?:°(?:" + _TRAILERS + r"))*°([{;])°$")
+BASE = rx(r"(?:extends|implements|:)°([\s\w.,:<>]+)")
 
 
 def generic_line(d, line):
@@ -189,7 +190,7 @@ def generic_line(d, line):
     sign = d.choose([(at > 1, d.sub_at(line, at - 1, 1))], d.lit(""))
     call = d.both(d.eq(end, ";"), d.either(d.either(d.eq(before, ""), d.member(sign, (".", ":", ">"))), d.has(line, "=")))
     first = d.extract(line, r"^([^\s(]*)", 1)
-    include, imported, using = rx('^#°include°[<"]([^>"]+)[>"]'), rx(r"^import·(?:static·)?([\w.]+)"), rx(r"^using·([\w.:]+)°;")
+    include, imported, using = rx('^#°include°["<]([^">]+)[">]'), rx(r"^import·(?:static·)?([\w.]+)"), rx(r"^using·([\w.:]+)°;")
     space = rx(r"^(?:namespace|package|module)·([\w.:]+)")
     return d.choose(
         [
@@ -228,7 +229,7 @@ def language(path) -> Column:
     return F.element_at(m, extension(path))
 
 
-NAME = rx(r"(?:function|class|interface|const|let|var|export·(?:default·)?(?:function|class|async·function))·¤")
+NAME = rx(r"(?:class|interface|function|var|let|const|export·(?:default·)?(?:class|async·function|function))·¤")
 
 
 def map_lines(code) -> Column:
@@ -279,7 +280,7 @@ def merge_runs(ir: DataFrame, pattern: str, least: int, head: str, item, keep) -
     return runs.select("path", F.inline(out))
 
 
-GUARD = r"^(\s*)IF:(.+?) → (.+)$"
+GUARD = r"^([ \t]*)IF:(.+?) → (.+)$"
 
 
 def merge_imports(ir: DataFrame) -> DataFrame:

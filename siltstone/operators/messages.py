@@ -10,7 +10,7 @@ from siltstone.operators.lines import fingerprint_file, language, shorter
 from siltstone.plans.dialect import SparkText, trim
 
 TICKS = "`" * 3
-FENCE = TICKS + r"([^\n]*)\n([\s\S]*?)\n" + TICKS
+FENCE = TICKS + r"([^\n]*)\n((?s:.*?))\n" + TICKS
 SNIPPETS = {"typescript": "ts", "ts": "ts", "tsx": "tsx", "javascript": "js", "js": "js", "jsx": "jsx", "mjs": "mjs", "python": "py", "py": "py", "go": "go", "rust": "rs", "rs": "rs"}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import identifier_variants, plain_name
 from siltstone.operators.lines import with_layers
+from siltstone.plans.dialect import rx
 from siltstone.sources.shared import materialize
 
 #: Files of a chunk of the fold, and remaining budgets for which a chunk says at once what it leaves.
@@ -54,7 +55,7 @@ def resolve_target(files: DataFrame, target: str) -> DataFrame:
     return best.select(F.lit(target).alias("target"), F.col("b.path").alias("path"), F.when(F.col("b.place") < n, "declaration").when(F.col("b.place") == n, "filename").otherwise("reference").alias("matched_by"))
 
 
-IMPORT = r"(?:import|require)\s*(?:\([^)]*|\{[^}]*\}|\w+)?\s*(?:from)?\s*" + "[\"']([^\"']+)[\"']"
+IMPORT = rx(r"(?:require|import)°(?:\w+|\{[^}]*\}|\([^)]*)?°(?:from)?°§")
 
 
 def related_files(files: DataFrame, resolved: DataFrame) -> DataFrame:

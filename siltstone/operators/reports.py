@@ -47,10 +47,10 @@ def coverage_warning(covered: DataFrame, most: int = 6) -> DataFrame:
     return total.crossJoin(top).select("unsupported", "total", F.floor(F.col("unsupported") * 100.0 / F.col("total") + 0.5).cast("bigint").alias("percent"), "exts")
 
 
-_NUMBER = r"-?\d+(?:\.\d+)?"
+_NUMBER = "-?[0-9]+(?:[.][0-9]+)?"
 VALUE = f"({LITERAL}|{_NUMBER})"
-NAMES = r"(?:function|class|interface|const|let|var)\s+([A-Za-z_$][\w$]*)"
-CONSTANTS = r"(?:const|let|var)\s+[A-Za-z_$][\w$]*(?::[^=]+)?=\s*" + VALUE
+NAMES = r"(?:class|interface|function|var|let|const)\s+([_$a-zA-Z][$\w]*)"
+CONSTANTS = r"(?:var|let|const)\s+[_$a-zA-Z][$\w]*(?::[^=]+|)=\s*" + VALUE
 CASES = r"case\s+" + VALUE
 COMPARED = r"[=!]==\s*" + VALUE
 

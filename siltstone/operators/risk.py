@@ -168,7 +168,7 @@ def auc(samples: DataFrame, value: str) -> DataFrame:
     return g.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).otherwise(0.5).alias("auc"))
 
 
-FLOORS = (1.0, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
+FLOORS = tuple(n / 10 for n in (10, 5, 4, 3, 2, 1, 0))
 
 
 def threshold_sweep(samples: DataFrame, saturation: dict[str, int], gate: float = 0.3) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import LITERAL, col
-from siltstone.operators.lines import fingerprint_file, generic_structure, is_generic, language, shorter
+from siltstone.operators.lines import GUARD, fingerprint_file, generic_structure, is_generic, language, shorter
 
 DEPTH = 4
 _SPACE = re.compile(r"\s*\n\s*|\s{2,}")
@@ -42,7 +42,7 @@ def _doc(text: str | None) -> str:
     return "" if len(line) < 5 else '"' + (line[:27] + "..." if len(line) > 30 else line) + '" '
 
 
-# ---------------------------------------------------------------- Python
+# Python
 
 
 def walk_python(code: str) -> list[str] | None:
@@ -109,10 +109,11 @@ def walk_python(code: str) -> list[str] | None:
     return out or None
 
 
-# ---------------------------------------------------------------- braces
+# Braces
 
 _SKIP = re.compile(r"\s+|//[^\n]*|/\*[\s\S]*?\*/")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
+_CASE = re.compile(rf"(?:case\s+((?:{LITERAL}|[^:\"'])+)|default\s*):")
 _OPEN, _CLOSE = "([{", ")]}"
 _DECISION = re.compile(r"===|!==|==|!=|<=|>=|&&|\|\||\?\?|\binstanceof\b|\bin\b|(?<![=<])<(?!<)|(?<![=>-])>(?!>)")
 
@@ -273,7 +274,7 @@ class Braces:
                     n = self.one(k, e - 1, depth + (2 if self.word(k) in ("case", "default") else 3), scope, inside)
                     k = n if n > k else k + 1
             return e
-        if w in ("case", "default") and (m := re.compile(r"(?:case\s+((?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[^:\"'])+)|default\s*):").match(code, i, end)):
+        if w in ("case", "default") and (m := _CASE.match(code, i, end)):
             self.add(depth, "CASE:" + m.group(1).strip() if w == "case" else "DEFAULT:")
             return m.end()
         if w in ("return", "throw"):
@@ -459,7 +460,7 @@ def merge(lines: list[str]) -> list[str]:
             out.append(line)
     lines, out, guards = out, [], []
     for line in [*lines, None]:
-        m = re.match(r"^(\s*)IF:(.+?) → (.+)$", line) if line is not None else None
+        m = re.match(GUARD, line) if line is not None else None
         if m:
             guards.append((m[1], m[2].strip(), m[3].strip()))
             continue

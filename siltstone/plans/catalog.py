@@ -40,7 +40,7 @@ def duck_trim(x: str) -> str:
     return str(trim(Duck, Sql(x)))
 
 
-# ---------------------------------------------------------------- tokens
+# Tokens
 
 
 @query(f"SELECT lang, count(*) AS docs, sum({count_tokens('text')})::BIGINT AS tokens, avg({count_tokens('text')}) AS avg_tokens FROM documents GROUP BY lang")
@@ -63,7 +63,7 @@ def token_pct(spark, sf):
     return S.table(spark, sf, "pages").select("page_id", T.percent_change(T.token_count("html"), T.token_count("url")).alias("pct"))
 
 
-# ---------------------------------------------------------------- lines
+# Lines
 
 _RAW = Sql("raw")
 _INDENT = "CASE WHEN regexp_matches(raw, '\\S') THEN length(regexp_extract(raw, '^(\\s*)', 1)) ELSE -1 END"
@@ -193,7 +193,7 @@ def line_slices(spark, sf):
     return S.code_files(spark, sf).select("path", T.slice_lines("code", 2, 4).alias("code"), T.remove_line("code", 3).alias("fixed"))
 
 
-# ---------------------------------------------------------------- history
+# History
 
 
 @query(f"WITH {S.TOUCHES} SELECT event_id, is_fix FROM touches")
@@ -260,7 +260,7 @@ def annotated_ir(spark, sf):
     return x.select("path", T.annotate(lines.l0("path", "code"), F.coalesce("tag", F.lit(""))).alias("ir"))
 
 
-# ---------------------------------------------------------------- reports
+# Reports
 
 _ENGINE = "CASE WHEN ext IN ('.cpp', '.java') THEN 'GENERIC' WHEN ext IN ('.ts', '.py') THEN 'LINES' ELSE 'NONE' END"
 _BENCH = f"{_IR}, bench AS (SELECT path, raw_tokens, l0_tokens, l1_tokens, CASE WHEN raw_tokens > 0 THEN (raw_tokens - l1_tokens) / raw_tokens * 100 ELSE 0.0 END AS saved_percent, {_ENGINE} AS engine FROM sized)"
@@ -314,7 +314,7 @@ def fidelity(spark, sf):
     return reports.fidelity(S.code_files(spark, sf).withColumn("ir", lines.l1("path", "code")))
 
 
-# ---------------------------------------------------------------- targets and packing
+# Targets and packing
 
 TARGET = "run-5"
 _HITS = " ".join(f"WHEN regexp_matches(code, '{p.replace(chr(39), chr(39) * 2)}') THEN {i}" for i, p in enumerate(p for v in T.identifier_variants(TARGET) for p in packing.declarations(v)))
@@ -392,7 +392,7 @@ def pack_summary(spark, sf):
     return _pack_large(spark, sf)[1]
 
 
-# ---------------------------------------------------------------- diffs and messages
+# Diffs and messages
 
 _HUNKS = f"""{S.DIFFS}, marked AS (SELECT *, regexp_matches(line, '{deltas.HUNK}') AS head FROM diffs), numbered AS (SELECT *, sum(head::INT) OVER (PARTITION BY file ORDER BY line_no) AS hunk_no FROM marked),
 signed AS (SELECT *, CASE WHEN head THEN '@' WHEN starts_with(line, '+') AND NOT starts_with(line, '+++') THEN '+' WHEN starts_with(line, '-') AND NOT starts_with(line, '---') THEN '-' WHEN starts_with(line, ' ') THEN ' ' END AS sign, substr(line, 2) AS body FROM numbered WHERE hunk_no > 0),
@@ -465,7 +465,7 @@ def read_decision(spark, sf):
     return messages.read_decision(x, LEAST).select("path", "reason", "raw_tokens", "output_tokens", "output")
 
 
-# ---------------------------------------------------------------- hand-off
+# Hand-off
 
 _STATUS = "['modified', 'added', 'deleted', 'modified'][file_ord % 4 + 1]"
 
@@ -509,7 +509,7 @@ def handoff_reuse(spark, sf):
     return handoff.reuse(now, now.withColumn("delta_hash", F.lit("000000000000"))).select("prefix_reused", "delta_reused")
 
 
-# ---------------------------------------------------------------- the risk graph
+# The risk graph
 
 _COMMITS = """commits AS (SELECT hash, min(author) AS author, max(second) AS second, bool_or(is_fix) AS is_fix, max(nullif(regexp_extract(message, 'This reverts commit (\\S+)', 1), '')) AS reverts FROM touches GROUP BY hash),
 ft AS (SELECT hash, file, min(author) AS author, max(second) AS second, bool_or(is_fix) AS is_fix FROM touches GROUP BY hash, file)"""
@@ -706,14 +706,14 @@ def auc(spark, sf):
 
 
 @query(f"""WITH {_SAMPLES}, long_ AS (SELECT 'cochange' AS variant, cochange AS degree, 20 AS sat, score, confidence, positive FROM samples UNION ALL SELECT 'cochange2', cochange2, 5, score, confidence, positive FROM samples),
-swept AS (SELECT variant, floor_ AS floor, positive, confidence >= 0.3 AND score * (floor_ + (1 - floor_) * least(1.0, degree / sat)) >= 0.3 AS fires FROM long_, (SELECT unnest([1.0, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0]::DOUBLE[]) AS floor_)),
+swept AS (SELECT variant, floor_ AS floor, positive, confidence >= 0.3 AND score * (floor_ + (1 - floor_) * least(1.0, degree / sat)) >= 0.3 AS fires FROM long_, (SELECT unnest({list(risk.FLOORS)}::DOUBLE[]) AS floor_)),
 g AS (SELECT variant, floor, count(*) FILTER (fires AND positive) AS tp, count(*) FILTER (fires AND NOT positive) AS fp, count(*) FILTER (positive) AS p FROM swept GROUP BY variant, floor)
 SELECT variant, floor, tp, fp, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN p = 0 THEN 0.0 ELSE tp / p END AS recall FROM g""")
 def threshold_sweep(spark, sf):
     return risk.threshold_sweep(_samples(spark, sf), {"cochange": 20, "cochange2": 5})
 
 
-# ---------------------------------------------------------------- live
+# Live
 
 _IGN = ", ".join(f"'{s}'" for s in live.IGNORED)
 _TRIGGER = f"regexp_matches(rel_path, '\\.(ts|py)$') AND NOT list_has_any(string_split(rel_path, '/'), [{_IGN}])"
@@ -737,7 +737,7 @@ def savings_counter(spark, sf):
 
 
 
-# ---------------------------------------------------------------- syntax: no SQL form, held against written-out results in the tests
+# Syntax: no SQL form, held against written-out results in the tests
 
 
 @query()

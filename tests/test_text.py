@@ -29,15 +29,15 @@ def test_bugfix(spark, message, fix):
 def test_collapse(spark):
     assert one(spark, "  a \n  b   c ", lambda x: T.collapse_text(x, 60)) == "a b c"
     assert one(spark, "x" * 100, lambda x: T.collapse_text(x, 10)) == "xxxxxxx..."
-    long = 'trend === "declining" ? "down" : trend === "improving" ? "up" : "stable"'
+    long = 'mood === "sinking" ? "low" : mood === "rising" ? "high" : "flat"'
     got = one(spark, long, lambda x: T.collapse_expr(x, 40))
-    assert got == long[:37] + '...{"improving","up","stable"}'
+    assert got == long[:37] + '...{"rising","high","flat"}'
     assert one(spark, "y" * 80, lambda x: T.collapse_expr(x, 60)) == "y" * 57 + "..."
 
 
 def test_health_tag(spark):
     tag = lambda *v: spark.createDataFrame([v], "c long, r double, t string, k string").select(T.health_tag("c", "r", "t", "k").alias("y")).first().y
-    assert tag(15, 0.73, "down", "low") == "[HOT:15/30 FIX:73% COV:↓ INCON]"
+    assert tag(21, 0.555, "down", "low") == "[HOT:21/30 FIX:56% COV:↓ INCON]"
     assert tag(10, 0.5, "stable", "high") == ""
     ir = lambda t: spark.createDataFrame([("a $1\nb", t)], "i string, t string").select(T.annotate("i", "t").alias("y")).first().y
     assert ir("[T\\$]") == "a $1 [T\\$]\nb" and ir("") == "a $1\nb"
