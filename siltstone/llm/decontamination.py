@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ RANK, OVERSAMPLING, POWER = 256, 16, 2
 #: Words of the passages that items are cut into, and of the windows over documents (each for items at least so long).
 PASSAGE = 64
 SCALES = (1, 2, 4, 8, 16, 32)
-#: Least cosine of a candidate window, as a share of what the latent space keeps of the item.  A window of 32 words, an eighth of
-#: it off the passage, that has half of a passage of 64 words has 0.31 of words of equal weight.
+#: Least cosine of a candidate window over words of the benchmark, as a share of what the latent space keeps of the item.  A window of
+#: 32 words, an eighth of it off the passage, that has half of a passage of 64 words has 0.31 of words of equal weight, if all its
+#: other words are of the benchmark too; words that aren't don't count, so that no corpus is too large.
 COSINE = 0.3
 #: Least share of an item's words in order: alone, and together with the answer.
 COPIED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.75
@@ -49,10 +51,11 @@ class Slice:
     passages: list[np.ndarray]
     vocab: np.ndarray
     idf: np.ndarray | None = None
-    top: float = 1.0  # weight of words outside the vocabulary
+    most: np.ndarray | None = None  # most that each word adds to the square of a passage's length
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None  # unit vectors of passages
-    kept: np.ndarray | None = None  # share of each passage's length that the latent space keeps
+    length: np.ndarray | None = None  # of each passage, by its weights
+    kept: np.ndarray | None = None  # share of it that the latent space keeps
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Places in the vocabulary, -1 outside it."""
@@ -177,64 +180,74 @@ def prepare(docs: DataFrame, part: Slice, rank: int = RANK) -> Slice:
     """The slice with weights from all documents and its latent space."""
     df, n = document_frequencies(docs, part)
     part.idf = np.log((n + 1.0) / (df + 0.5)).clip(0.05)
-    part.top = float(max(np.log((n + 1.0) / 0.5), 0.05))
     part.basis = randomized_svd(docs.sparkSession, part, rank)
-    latent, whole = [], []
+    latent, whole, most = [], [], np.zeros(len(part.vocab), np.float32)
     for i in range(0, len(part.passages), 256):
         a = rows_of(part, range(i, min(i + 256, len(part.passages))))
         latent.append(a @ part.basis)
         whole.append(np.linalg.norm(a, axis=1))
+        most = np.maximum(most, (a * a).max(0))
     latent, whole = np.concatenate(latent), np.concatenate(whole)
     length = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
     part.latent, part.kept = (latent / length[:, None]).astype(np.float32), length / whole
+    part.length, part.most = whole, most.astype(np.float64)
     part.__dict__.pop("_quick", None)
     return part
 
 
 def windows(s: Slice, at: np.ndarray, woff: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the windows of a scale, a quarter of it apart, in which benchmark words have enough weight for the cosine to be reached."""
+    """(starts, ends) of the windows of a scale, a quarter of it apart, whose benchmark words let the cosine be reached.
+
+    By Cauchy and Schwarz a window's cosine to a passage is at most the share of the
+    passage's length that is in the window's words; words outside the vocabulary
+    don't count.  A space that isn't whole has no such bound: there any word will do.
+    """
     step = max(1, scale // 4)
     n = np.diff(woff)
     count = np.where(n > 0, np.maximum(1, -(-(n - scale) // step) + 1), 0)
     off = np.concatenate([[0], np.cumsum(count)])
     start = np.repeat(woff[:-1], count) + step * (np.arange(off[-1]) - np.repeat(off[:-1], count))
     end = np.minimum(start + scale, np.repeat(woff[1:], count))
-    weight = np.where(at >= 0, s.idf[at] ** 2, s.top**2)
-    total, inside = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
-    np.cumsum(weight, out=total[1:])
-    np.cumsum(np.where(at >= 0, weight, 0), out=inside[1:])
-    share = (inside[end] - inside[start]) / np.maximum(total[end] - total[start], 1e-9)
-    on = share >= (COSINE * float(s.kept.min(initial=1.0))) ** 2
+    inside = np.zeros(len(at) + 1)
+    np.cumsum(np.where(at >= 0, s.most[at], 0), out=inside[1:])
+    whole = float(s.kept.min(initial=1.0)) > 0.999
+    least = 0.99 * (COSINE * s.length[s.scale == scale].min()) ** 2 if whole else 0.0
+    on = inside[end] - inside[start] > least
     return start[on], end[on]
 
 
 def cosines(s: Slice, at: np.ndarray, start: np.ndarray, end: np.ndarray, scale: int):
-    """(window, passage, cosine) of the candidates among windows and the passages of their scale."""
+    """(window, passage, cosine) of the candidates among windows and the passages of their scale; over words of the vocabulary only."""
     of = np.flatnonzero(s.scale == scale)
+    latent, least = s.latent[of].T, COSINE * s.kept[of]
+    weight = np.where(at >= 0, s.idf[at] ** 2, 0.0)
+    once = np.concatenate([[0.0], np.cumsum(weight)])
     out = [], [], []
-    for i in range(0, len(start), 4096):
-        a, b = start[i : i + 4096], end[i : i + 4096]
-        idx = a[:, None] + np.arange(scale)
-        there = idx < b[:, None]
-        w = at[np.minimum(idx, len(at) - 1)]
-        known = there & (w >= 0)
-        v = np.zeros((len(a), s.basis.shape[1]), np.float32)
-        r, c = np.nonzero(known)
-        k = w[r, c]
-        if len(k):
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            v[r[first]] = np.add.reduceat(s.basis[k] * s.idf[k, None].astype(np.float32), first, axis=0)
-        # the whole length: known words with their multiplicity, others as if each stood once
-        key = np.sort(r * (len(s.vocab) + 1) + k)
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.append(cut, len(key)))
-        square = np.bincount(key[cut] // (len(s.vocab) + 1), (times * s.idf[key[cut] % (len(s.vocab) + 1)]) ** 2, len(a)) if len(key) else np.zeros(len(a))
-        square += (there & (w < 0)).sum(1) * s.top**2
-        score = (v @ s.latent[of].T) / np.maximum(np.sqrt(square), 1e-12)[:, None]
-        x, y = np.nonzero(score >= COSINE * s.kept[of])
-        out[0].append(x + i)
-        out[1].append(of[y])
-        out[2].append(score[x, y])
+    for i in range(0, len(start), 256):  # sums of 256 windows stay in the cache
+        a, b = start[i : i + 256], end[i : i + 256]
+        cover = np.bincount(a - a[0], minlength=b[-1] - a[0] + 1) - np.bincount(b - a[0], minlength=b[-1] - a[0] + 1)
+        known = (np.cumsum(cover)[:-1] > 0) & (at[a[0] : b[-1]] >= 0)
+        k = at[a[0] : b[-1]][known]
+        before = np.concatenate([[0], np.cumsum(known)])
+        total = np.zeros((len(k) + 1, s.basis.shape[1]), np.float32)
+        np.cumsum(s.basis[k] * s.idf[k, None].astype(np.float32), axis=0, out=total[1:])
+        v = total[before[b - a[0]]] - total[before[a - a[0]]]
+        # words as if each stood once: no window is longer than this, so none that counts is lost
+        score = (v @ latent) / np.maximum(np.sqrt(once[b] - once[a]), 1e-12)[:, None]
+        x, y = np.nonzero(score >= 0.99 * least)
+        if not len(x):
+            continue
+        some, back = np.unique(x, return_inverse=True)
+        idx = a[some][:, None] + np.arange(scale)
+        w = np.where(idx < b[some][:, None], at[np.minimum(idx, len(at) - 1)], -1)
+        r, c = np.nonzero(w >= 0)
+        key, times = np.unique(r * len(s.vocab) + w[r, c], return_counts=True)
+        square = np.bincount(key // len(s.vocab), (times * s.idf[key % len(s.vocab)]) ** 2, len(some))
+        score = (v[x] * s.latent[of[y]]).sum(1) / np.maximum(np.sqrt(square[back]), 1e-12)
+        on = score >= least[y] - 1e-4
+        out[0].append(x[on] + i)
+        out[1].append(of[y[on]])
+        out[2].append(score[on])
     return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
 
 
@@ -279,6 +292,7 @@ def search_block(s: Slice, buf: np.ndarray, off: np.ndarray) -> list[tuple]:
             near.setdefault((d, p), []).append((a, b, c))
     for (d, p), places in near.items():
         item, answer = s.words[p], s.answers[p][0]
+        own = set(item.tolist())
         places.sort()
         merged: list[list] = []
         for a, b, c in places:  # windows at most the item's length apart are looked at together
@@ -288,9 +302,12 @@ def search_block(s: Slice, buf: np.ndarray, off: np.ndarray) -> list[tuple]:
                 merged.append([a, b, c])
         for a, b, c in merged:
             lo, hi = max(int(woff[d]), a - len(item)), min(int(woff[d + 1]), b + len(item))
-            # in stretches of twice the item's length, half overlapping, lest common words far apart add up
-            for i in range(lo, max(lo + 1, hi - len(item)), len(item)):
+            # in stretches of twice the item's length, an eighth of it apart, lest common words far apart add up; a stretch needs half of the item's words
+            inside = list(accumulate((x in own for x in h[lo:hi].tolist()), initial=0))
+            for i in range(lo, max(lo + 1, hi - len(item)), max(1, len(item) // 8)):
                 j = min(i + 2 * len(item), hi)
+                if inside[j - lo] - inside[i - lo] < PARAPHRASED * len(item):
+                    continue
                 share, answered, kind = verdict(item, answer, h[i:j])
                 if kind and ((d, p) not in best or (share, answered) > best[d, p][5:7]):
                     best[d, p] = (d, p, i - int(woff[d]), j - int(woff[d]), c, share, answered, kind)
@@ -305,7 +322,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
     over all documents, and a randomised SVD of their matrix gives the latent
     space.  Windows over each document's words, as long as the passages ask for
     and a quarter of that apart, are projected, and those whose cosine to a passage is
-    high are candidates.  A candidate is reported if the longest common
+    high are candidates; the cosine is over words of the benchmark only.  A candidate is reported if the longest common
     subsequence of item and stretch holds 3/4 of the item's words (a copy), or
     half of them and 3/4 of the answer's (a paraphrase); the answer is the
     item's last sentence.  One row for each pair, with its best place.

@@ -188,6 +188,22 @@ def test_paraphrases_and_answers(spark):
     assert got == {i: (i, k) for i, k in want.items()}
 
 
+def test_new_words_hide_no_leak_in_a_large_corpus(spark, monkeypatch):
+    r = random.Random(8)
+    common = _words(r, 60)  # words of many documents, so of little weight
+    items = [" ".join(r.choice(common) for _ in range(30)) + ". " + " ".join(r.choice(common) for _ in range(6)) + "." for _ in range(20)]
+    docs = []
+    for i, item in enumerate(items):  # 12 of 30 words kept, and the answer: half of the item
+        w = item.split()
+        body = [x if k % 5 in (0, 3) else f"new{i}x{k}" for k, x in enumerate(w[:30])]
+        docs.append(" ".join([f"before{i}x{k}" for k in range(40)] + body + w[30:] + [f"after{i}x{k}" for k in range(40)]))
+    count = D.document_frequencies
+    for times in (1, 1_000_000):
+        monkeypatch.setattr(D, "document_frequencies", lambda *a, m=times: tuple(x * m for x in count(*a)))
+        got = {(x.doc_id, x.item_id) for x in D.contaminated(frame(spark, *docs), _items(spark, *items)).collect()}
+        assert {(i, i) for i in range(20)} <= got
+
+
 def test_slices_and_low_ranks_find_the_same(spark, monkeypatch):
     r = random.Random(5)
     items = [" ".join(_words(r, r.randint(3, 150))) for _ in range(40)]
