@@ -39,3 +39,10 @@ def test_all_but_syntax_have_sql(spark, sf):
     kinds = {r.change for r in catalog.QUERIES["symbol_diff"](spark, sf).collect()}
     assert kinds == {"added", "deleted"}
     assert catalog.QUERIES["ast_ir"](spark, sf).where("engine = 'AST'").count() > 100
+
+
+def test_truth_has_every_broken_file(spark, monkeypatch):
+    rows = [(i, f"h{i}", "a", f, m, s * 3600) for i, (f, m, s) in enumerate([(1, "feat: x", 1), (1, "fix: x", 2), (2, "feat: y", 1), (2, "fix: y", 2), (3, "feat: z", 1)])]
+    touches = spark.createDataFrame(rows, "event_id long, hash string, author string, file int, message string, second long")
+    monkeypatch.setattr(catalog.S, "touches", lambda *_: touches)
+    assert sorted(r.file for r in catalog._truth(spark, "").collect()) == [1, 2]
