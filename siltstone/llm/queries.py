@@ -48,7 +48,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"))
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
@@ -66,4 +66,5 @@ QUERIES = {
         op10_toxicity,
     )
 }
-ORACLE = {"op4_substring_dedup": substrings.ORACLE, "op10_toxicity": toxicity.ORACLE}
+#: SQL has no greedy cover to learn stems by, nor trained codes, sketches and alignments; tests hold those against brute force.
+ORACLE = {"op4_substring_dedup": substrings.ORACLE}
