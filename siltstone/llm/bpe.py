@@ -17,7 +17,7 @@ from siltstone.llm.docs import texts
 #: A public vocabulary in the ranks format: a line of base64 bytes and a rank for each token.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text whose distinct pieces are merged together.
-SEGMENT = 16 << 20
+SEGMENT = 4 << 20
 NONE = 1 << 30
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, lossless boolean"
 
@@ -219,7 +219,7 @@ class Bpe:
                 e = np.append(s[1:], len(b))[: len(s)]
                 h, first, inverse = np.unique(K.span_hash(K.prefix_hash(b, K.EXACT), s, e), return_index=True, return_inverse=True)
                 self._verify(b, s, e, s[first][inverse], e[first][inverse])
-                parts.append((base + lo, base + hi, b, o, woff, inverse, s[first] + soff[lo], e[first] + soff[lo]))
+                parts.append((base + lo, base + hi, b, o, woff, inverse.astype(np.int32), s[first] + soff[lo], e[first] + soff[lo]))
                 hashes.append(h)
             if not parts:
                 continue
@@ -286,7 +286,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     hash collision between pieces ends the job rather than corrupt a text.
 
     One map over the texts.  Pieces repeat, so that only the distinct ones of
-    sixteen megabytes are merged, all together, and expanded again.
+    four megabytes are merged, all together, and expanded again.
     """
     vocab = shared_vocabulary(docs.sparkSession, vocabulary)
 
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 lossless = (boff[ioff] == o)[1:] & (boff[ioff] == o)[:-1] & (same[o[1:]] - same[o[:-1]] == np.diff(o))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[lo:hi]), pa.array(np.diff(ioff)), K.list_rows(ids, ioff, pa.int32()), pa.array(lossless)], ["doc_id", "n_tokens", "ids", "lossless"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(K.tidy(run), SCHEMA)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -324,4 +324,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             text = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(out)))
             yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(K.tidy(run), "doc_id bigint, text string")

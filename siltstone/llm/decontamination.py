@@ -111,7 +111,7 @@ def document_frequencies(docs: DataFrame, part: Slice) -> tuple[np.ndarray, int]
         on = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1)), pa.array(np.append(df[on], n))], ["word", "n"])
 
-    got = texts(docs).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = texts(docs).mapInArrow(K.tidy(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(len(part.vocab), np.int64), 0
     for word, c in got:
         if word < 0:
@@ -165,7 +165,7 @@ def randomized_svd(spark, part: Slice, rank: int = RANK, seed: int = 11) -> np.n
             total = sum(np.frombuffer(b) for b in table["part"].to_pylist())
             return pa.table([table["at"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["at", "part"])
 
-        rows = spark.range(0, n, 1, parts).mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect()
+        rows = spark.range(0, n, 1, parts).mapInArrow(K.tidy(run), "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect()
         sent.destroy()
         return np.concatenate([np.frombuffer(r.part).reshape(-1, shape[1]) for r in sorted(rows, key=lambda r: r["at"])])
 
@@ -356,7 +356,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
                 kinds = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "start_word", "end_word", "cosine", "common_share", "answer_share", "kind"])
 
-        found = texts(docs).mapInArrow(search, SCHEMA)
+        found = texts(docs).mapInArrow(K.tidy(search), SCHEMA)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 

@@ -28,7 +28,3 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     plain, at = numbered(docs)
     gone = ids.toDF("_gone")
     return plain.join(gone, plain[at[ID]] == gone["_gone"], "left_anti").toDF(*docs.columns)
-
-
-def empty_like(docs: DataFrame, schema: str) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], schema)

@@ -88,4 +88,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 soff = np.concatenate([[0], np.cumsum(np.where(n > 0, FUNCTIONS, 0))])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n), K.list_rows(sig[n > 0].reshape(-1).view(np.int64), soff, pa.int64())], ["doc_id", "n_kmers", "signature"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(K.tidy(run), SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,13 +148,25 @@ def grams(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return mix(out), goff
 
 
-def reduce_min(x: np.ndarray, off: np.ndarray, empty) -> np.ndarray:
-    """Minimum of each segment; ``empty`` for those without elements."""
-    out = np.full(len(off) - 1, empty, x.dtype)
-    full = off[1:] > off[:-1]
-    if full.any():
-        out[full] = np.minimum.reduceat(x, off[:-1][full])
-    return out
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again by later stages, which shouldn't find it held by those before."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """run, a mapper of Arrow batches, that gives memory back when its partition is done."""
+
+    def mapper(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return mapper
 
 
 def binary_rows(data: np.ndarray, width: int, n: int) -> pa.Array:

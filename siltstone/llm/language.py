@@ -172,7 +172,7 @@ def identify(docs: DataFrame, coder: Coder | None = None, gap: float = GAP, samp
             gaps = np.minimum(gaps, 1e9)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names[lang], pa.string()), pa.array(grams), pa.array(gaps), pa.array(unsure), pa.array(~unsure)], ["doc_id", "lang", "n_grams", "gap", "ambiguous", "accepted"])
 
-    return texts(docs).mapInArrow(apply, SCHEMA)
+    return texts(docs).mapInArrow(K.tidy(apply), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, gap: float = GAP, sample: int = SAMPLE) -> DataFrame:
@@ -198,6 +198,6 @@ def keep_identified(docs: DataFrame, gap: float = GAP, sample: int = SAMPLE) ->
                 ok[lo:hi] |= (grams >= MIN_GRAMS) & (model.decode(margin)[1] >= gap)
             yield batch.filter(pa.array(ok))
 
-    return plain.mapInArrow(apply, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(K.tidy(apply), plain.schema).toDF(*docs.columns)
 
 

@@ -163,13 +163,13 @@ def common_blocks(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     The texts are read once, to a narrow table of lines; only lines that are
     repeated go further.
     """
-    lines = materialize(texts(docs).mapInArrow(_scan(least), _LINES), "lines")
+    lines = materialize(texts(docs).mapInArrow(K.tidy(_scan(least)), _LINES), "lines")
     firsts = lines.groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).where("src <> last").select("h", "src")
     repeated = lines.join(firsts, "h").groupBy("h", "doc_id", "src").agg(F.collect_set(F.struct("line", "gap", "gap_h", "tail", "tail_h")).alias("at"))
     repeated = materialize(repeated, "repeated")
     source = repeated.where("doc_id = src").select("h", F.col("at").alias("theirs"))
     pairs = repeated.where("doc_id <> src").join(source, "h").select("doc_id", "src", "h", F.col("at").alias("mine"), "theirs")
-    return pairs.repartition("doc_id").sortWithinPartitions("doc_id", "src").mapInArrow(_align, SCHEMA)
+    return pairs.repartition("doc_id").sortWithinPartitions("doc_id", "src").mapInArrow(K.tidy(_align), SCHEMA)
 
 
 def without_common_blocks(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:

@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     are compared with its first, all buckets at once; where that leaves some
     out, the bucket's components are grown (``forest``).  No bucket is capped.
     """
-    sketches = materialize(texts(docs).mapInArrow(_sketch, _SKETCH).where("whole <> 0 or n > 0"), "sketch")
+    sketches = materialize(texts(docs).mapInArrow(K.tidy(_sketch), _SKETCH).where("whole <> 0 or n > 0"), "sketch")
 
     # Equal signatures, or equal texts where there are no words: one node, named by its least id.
     some = F.col("n") > 0
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = signed.select("doc_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("band")
     members = rows.join(shared, "band").join(signed.select("doc_id", "sig"), "doc_id").select("band", "doc_id", "sig")
-    alike = members.repartition("band").sortWithinPartitions("band").mapInArrow(_buckets(similarity - SLACK), "a bigint, b bigint")
+    alike = members.repartition("band").sortWithinPartitions("band").mapInArrow(K.tidy(_buckets(similarity - SLACK)), "a bigint, b bigint")
     joined = exact.union(alike)
     found = components(joined, "edges")
     sizes = found.groupBy("root").agg((F.count("*") + 1).alias("group_size"))

@@ -106,7 +106,7 @@ def write_planes(docs: DataFrame, vocabulary: str = VOCABULARY, mode: str = "bit
         if size or starts:
             yield _rows(_cut(np.concatenate(held), starts, done, block_ids), width, mode, shard, done)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(K.tidy(run), SCHEMA)
 
 
 def _cut(flat: np.ndarray, starts, done: int, block_ids: int):

@@ -107,4 +107,4 @@ def secrets(docs: DataFrame, vocabulary: str = VOCABULARY, least: int = LEAST, r
             kinds = [pa.int64()] * 4 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "start_byte", "end_byte", "n_tokens", "chars_per_token", "kind"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(K.tidy(run), SCHEMA)

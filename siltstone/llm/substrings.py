@@ -175,10 +175,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, groups: int | None = None) ->
     spark = docs.sparkSession
     plain = texts(docs)
     n = groups or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes_of(docs) // BUCKET))
-    parts = plain.mapInArrow(_spread(window, n), _PART)
+    parts = plain.mapInArrow(K.tidy(_spread(window, n)), _PART)
     found = parts.groupBy("bucket").applyInArrow(_count, _FOUND)
     by_doc = found.repartition("doc_id").sortWithinPartitions("doc_id")
-    return by_doc.mapInArrow(_merge(window), SCHEMA)
+    return by_doc.mapInArrow(K.tidy(_merge(window)), SCHEMA)
 
 
 ORACLE = rf"""

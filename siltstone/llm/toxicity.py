@@ -333,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, words=LEXICON, sample: int = SAMPLE)
             keys = [*toxic, *(p for p in clean if p not in toxic)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([clean.get(p, 0) for p in keys], pa.int64()), pa.array([toxic.get(p, []) for p in keys], pa.list_(pa.int64()))], ["stem", "clean", "toxic"])
 
-    counted = found.mapInArrow(count, "stem string, clean bigint, toxic array<bigint>").groupBy("stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic"))
+    counted = found.mapInArrow(K.tidy(count), "stem string, clean bigint, toxic array<bigint>").groupBy("stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic"))
     counted = counted.where((F.col("stem").startswith("=") & (F.col("clean") >= 2)) | (F.size("toxic") >= SUPPORT)).toArrow()
     clean, toxic, known = {}, {}, set(KNOWN)
     for p, n, d in zip(*(counted[c].to_pylist() for c in ("stem", "clean", "toxic"))):
@@ -379,4 +379,4 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, lexicon: Lexicon
             kinds = [pa.int64()] * 5 + [pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    return texts(docs).mapInArrow(score, SCHEMA)
+    return texts(docs).mapInArrow(K.tidy(score), SCHEMA)
