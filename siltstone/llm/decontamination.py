@@ -26,6 +26,8 @@ SCALES = (1, 2, 4, 8, 16, 32)
 COSINE = 0.3
 #: Least share of an item's words in order: alone, and together with the answer.
 COPIED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.75
+#: Words whose running sums are held at once.
+CHUNK = 2048
 #: Words of benchmark items that are sent to the executors at once; more items are searched slice by slice.
 SLICE_WORDS = 400_000
 SCHEMA = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, cosine double, common_share double, answer_share double, kind string"
@@ -57,6 +59,17 @@ class Slice:
     length: np.ndarray | None = None  # of each passage, by its weights
     kept: np.ndarray | None = None  # share of it that the latent space keeps
 
+    def table(self) -> tuple[np.ndarray, bool, dict[int, np.ndarray]]:
+        """(row of each word: its weight times its latent coordinates or, if passages are fewer than those, times its products with all passages by scale; which of the two; columns or passages of each scale)."""
+        if "_table" not in self.__dict__:
+            rows = self.basis * self.idf[:, None].astype(np.float32)
+            self.order = np.argsort(self.scale, kind="stable")
+            few = len(self.scale) <= self.basis.shape[1]
+            scale = self.scale[self.order] if few else self.scale
+            of = {k: np.flatnonzero(scale == k) for k in set(self.scale.tolist())}
+            self.__dict__["_table"] = np.ascontiguousarray(rows @ self.latent[self.order].T) if few else rows, few, of
+        return self.__dict__["_table"]
+
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Places in the vocabulary, -1 outside it."""
         quick = self.__dict__.get("_quick")
@@ -191,7 +204,8 @@ def prepare(docs: DataFrame, part: Slice, rank: int = RANK) -> Slice:
     length = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
     part.latent, part.kept = (latent / length[:, None]).astype(np.float32), length / whole
     part.length, part.most = whole, most.astype(np.float64)
-    part.__dict__.pop("_quick", None)
+    for cached in ("_quick", "_table"):
+        part.__dict__.pop(cached, None)
     return part
 
 
@@ -216,39 +230,61 @@ def windows(s: Slice, at: np.ndarray, woff: np.ndarray, scale: int) -> tuple[np.
     return start[on], end[on]
 
 
-def cosines(s: Slice, at: np.ndarray, start: np.ndarray, end: np.ndarray, scale: int):
-    """(window, passage, cosine) of the candidates among windows and the passages of their scale; over words of the vocabulary only."""
-    of = np.flatnonzero(s.scale == scale)
-    latent, least = s.latent[of].T, COSINE * s.kept[of]
+def cosines(s: Slice, at: np.ndarray, spans: list[tuple[int, np.ndarray, np.ndarray]]):
+    """Yields (scale, starts, ends, passages, cosines) of the candidates among windows and the passages of their scale, over words of the vocabulary only; spans: (scale, starts, ends).
+
+    Running sums over the words give every window's coordinates at once, for all
+    scales: those in the latent space or, where the passages are fewer, the
+    products with them, which is the same by associativity.
+    """
     weight = np.where(at >= 0, s.idf[at] ** 2, 0.0)
     once = np.concatenate([[0.0], np.cumsum(weight)])
-    out = [], [], []
-    for i in range(0, len(start), 256):  # sums of 256 windows stay in the cache
-        a, b = start[i : i + 256], end[i : i + 256]
-        cover = np.bincount(a - a[0], minlength=b[-1] - a[0] + 1) - np.bincount(b - a[0], minlength=b[-1] - a[0] + 1)
-        known = (np.cumsum(cover)[:-1] > 0) & (at[a[0] : b[-1]] >= 0)
-        k = at[a[0] : b[-1]][known]
-        before = np.concatenate([[0], np.cumsum(known)])
-        total = np.zeros((len(k) + 1, s.basis.shape[1]), np.float32)
-        np.cumsum(s.basis[k] * s.idf[k, None].astype(np.float32), axis=0, out=total[1:])
-        v = total[before[b - a[0]]] - total[before[a - a[0]]]
-        # words as if each stood once: no window is longer than this, so none that counts is lost
-        score = (v @ latent) / np.maximum(np.sqrt(once[b] - once[a]), 1e-12)[:, None]
-        x, y = np.nonzero(score >= 0.99 * least)
-        if not len(x):
-            continue
-        some, back = np.unique(x, return_inverse=True)
-        idx = a[some][:, None] + np.arange(scale)
-        w = np.where(idx < b[some][:, None], at[np.minimum(idx, len(at) - 1)], -1)
-        r, c = np.nonzero(w >= 0)
-        key, times = np.unique(r * len(s.vocab) + w[r, c], return_counts=True)
-        square = np.bincount(key // len(s.vocab), (times * s.idf[key % len(s.vocab)]) ** 2, len(some))
-        score = (v[x] * s.latent[of[y]]).sum(1) / np.maximum(np.sqrt(square[back]), 1e-12)
-        on = score >= least[y] - 1e-4
-        out[0].append(x[on] + i)
-        out[1].append(of[y[on]])
-        out[2].append(score[on])
-    return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
+    cover = np.zeros(len(at) + 1, np.int64)
+    for _, start, end in spans:
+        cover += np.bincount(start, minlength=len(at) + 1) - np.bincount(end, minlength=len(at) + 1)
+    known = (np.cumsum(cover)[:-1] > 0) & (at >= 0)
+    k = at[known]
+    before = np.concatenate([[0], np.cumsum(known)])
+    rows, few, of = s.table()
+    longest = max(scale for scale, _, _ in spans)
+    total = np.zeros((CHUNK + longest + 1, rows.shape[1]), np.float32)
+    for lo in range(0, len(k), CHUNK):  # sums of a chunk stay in the cache
+        part = k[lo : lo + CHUNK + longest]
+        np.cumsum(rows[part], axis=0, out=total[1 : len(part) + 1])
+        for scale, start, end in spans:
+            i, j = np.searchsorted(before[start], (lo, lo + CHUNK))
+            if i == j:
+                continue
+            a, b = start[i:j], end[i:j]
+            mine = of[scale]
+            x, y = before[a] - lo, before[b] - lo
+            if few:
+                c0, c1 = int(mine[0]), int(mine[-1]) + 1
+                score = total[y, c0:c1]
+                score -= total[x, c0:c1]
+            else:
+                v = total[y] - total[x]
+                score = v @ s.latent[mine].T
+            # words as if each stood once: no window is longer than this, so none that counts is lost
+            length = np.maximum(np.sqrt(once[b] - once[a]), 1e-12).astype(np.float32)
+            least = (COSINE * s.kept[s.order[mine]] if few else COSINE * s.kept[mine]).astype(np.float32)
+            near = np.flatnonzero(score.max(1) >= np.float32(0.99 * least.min()) * length)
+            if not len(near):
+                continue
+            score, a, b = score[near], a[near], b[near]
+            x, y = np.nonzero(score >= 0.99 * least * length[near][:, None])
+            if not len(x):
+                continue
+            some, back = np.unique(x, return_inverse=True)
+            idx = a[some][:, None] + np.arange(scale)
+            w = np.where(idx < b[some][:, None], at[np.minimum(idx, len(at) - 1)], -1)
+            r, c = np.nonzero(w >= 0)
+            key, times = np.unique(r * len(s.vocab) + w[r, c], return_counts=True)
+            square = np.bincount(key // len(s.vocab), (times * s.idf[key % len(s.vocab)]) ** 2, len(some))
+            cosine = score[x, y] / np.maximum(np.sqrt(square[back]), 1e-12)
+            on = cosine >= least[y] - 1e-4
+            y = mine[y[on]]
+            yield scale, a[x[on]], b[x[on]], s.order[y] if few else y, cosine[on]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -282,13 +318,11 @@ def search_block(s: Slice, buf: np.ndarray, off: np.ndarray) -> list[tuple]:
     at = s.look_up(h)
     best: dict[tuple[int, int], tuple] = {}
     near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-    for scale in sorted(set(s.scale.tolist())):
-        start, end = windows(s, at, woff, scale)
-        if not len(start):
-            continue
-        x, y, score = cosines(s, at, start, end, scale)
-        doc = np.searchsorted(woff, start[x], "right") - 1
-        for d, p, a, b, c in zip(doc.tolist(), s.owner[y].tolist(), start[x].tolist(), end[x].tolist(), score.tolist()):
+    spans = [(scale, *windows(s, at, woff, scale)) for scale in sorted(set(s.scale.tolist()))]
+    spans = [x for x in spans if len(x[1])]
+    for _, start, end, passage, score in cosines(s, at, spans) if spans else ():
+        doc = np.searchsorted(woff, start, "right") - 1
+        for d, p, a, b, c in zip(doc.tolist(), s.owner[passage].tolist(), start.tolist(), end.tolist(), score.tolist()):
             near.setdefault((d, p), []).append((a, b, c))
     for (d, p), places in near.items():
         item, answer = s.words[p], s.answers[p][0]
