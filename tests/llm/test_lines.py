@@ -48,60 +48,138 @@ def test_patience_is_a_rising_alignment_of_most_unique_lines():
     assert L.patience([1, 1, 1], [1, 1]) == [(0, 0), (1, 1)]
 
 
+def brute_anchors(text, least):
+    """(first line, end line, the lines) from each line on, and of the last one to the end."""
+    ls, out = text.split("\n"), []
+    for i in range(len(ls)):
+        for j in range(i, len(ls)):
+            if sum(len(x.encode()) for x in ls[i : j + 1]) >= least:
+                out.append((i, j + 1, tuple(ls[i : j + 1])))
+                break
+    if out and out[-1][1] < len(ls):
+        i = out[-1][0]
+        out.append((i, len(ls), tuple(ls[i:])))
+    return out
+
+
 def brute_blocks(rows, least):
     docs = {}
     for i, t in rows:
         if i is not None and t:
-            docs[i] = t.split("\n")
+            docs.setdefault(i, set()).update(brute_anchors(t, least))
+    holders = {}
+    for i, found in docs.items():
+        for _, _, x in found:
+            holders.setdefault(x, set()).add(i)
+    seq = {i: sorted(a for a in found if len(holders[a[2]]) > 1) for i, found in docs.items()}
     first = {}
-    for i in sorted(docs):
-        for x in docs[i]:
-            if len(x.encode()) >= least:
-                first.setdefault(x, i)
+    runs = {}
+    for i in sorted(seq):
+        n = 1
+        while n <= len(seq[i]):
+            for p in range(len(seq[i]) - n + 1):
+                run = tuple(a[2] for a in seq[i][p : p + n])
+                first.setdefault(run, i)
+                runs.setdefault((i, run), []).append(p)
+            n *= 2
+    out = set()
+
+    def note(i, src, spans):
+        gone = {n for s, e in spans for n in range(s, e)}
+        for n in sorted(gone):
+            if n - 1 not in gone:
+                e = next(m for m in range(n, 10**9) if m not in gone)
+                out.add((i, src, n, e, e - n))
+        return gone
+
+    for i in sorted(seq):
+        mine, theirs = {}, {}
+        for (d, run), at in runs.items():
+            src = first[run]
+            if d == i and src < i:
+                for p in at:
+                    mine.setdefault(src, {}).update((p + k, x) for k, x in enumerate(run))
+                for t in runs[src, run]:
+                    theirs.setdefault(src, {}).update((t + k, x) for k, x in enumerate(run))
+        gone = set()
+        for src in mine:
+            a, b = sorted(mine[src].items()), sorted(theirs[src].items())
+            gone |= note(i, src, [seq[i][p][:2] for p, _ in brute_patience(a, b)])
+        left = [(a, min(holders[a[2]])) for a in seq[i] if min(holders[a[2]]) < i and sum(b[2] == a[2] for b in seq[i]) == 1 and not set(range(*a[:2])) <= gone]
+        while left:
+            turn = {}
+            for a, tried in left:
+                after = [d for d in sorted(holders[a[2]]) if tried < d < i]
+                if after:
+                    turn.setdefault(after[0], []).append(a)
+            left = []
+            for src, mine_ in turn.items():
+                there = {}
+                for line, _, x in sorted(docs[src]):
+                    there.setdefault(x, line)
+                other = sorted(((there[a[2]], a[2]) for a in mine_), key=lambda y: (y[0], L_hash(y[1])))
+                hit = [mine_[p] for p, _ in brute_patience([(p, a[2]) for p, a in enumerate(mine_)], other)]
+                gone = note(i, src, [a[:2] for a in hit])
+                left += [(a, src) for a in mine_ if not set(range(*a[:2])) <= gone]
+    return out
+
+
+def L_hash(lines):
+    return 0
+
+
+def all_pairs(rows, least):
+    """Lines of each document that a patience diff with some earlier document aligns, both whole; without those that the document has twice."""
+    docs = [(i, brute_anchors(t, least)) for i, t in sorted(rows) if t]
     out = set()
-    for i in sorted(docs):
-        by = {}
-        for n, x in enumerate(docs[i]):
-            if x in first and first[x] != i:
-                by.setdefault(first[x], []).append(n)
-        for src, mine in by.items():
-            other = docs[src]
-            theirs = [n for n, x in enumerate(other) if x in {docs[i][m] for m in mine}]
-            removed = set()
-            for a, b in L.patience([docs[i][m] for m in mine], [other[m] for m in theirs]):
-                m, n = mine[a], theirs[b]
-                removed.add(m)
-                gap = lambda ls, at: next((k for k in range(at - 1, -1, -1) if len(ls[k].encode()) >= least), -1)
-                p, q = gap(docs[i], m), gap(other, n)
-                if docs[i][p + 1 : m] == other[q + 1 : n]:
-                    removed |= set(range(p + 1, m))
-                last = lambda ls, at: all(len(x.encode()) < least for x in ls[at + 1 :])
-                if last(docs[i], m) and last(other, n) and docs[i][m + 1 :] == other[n + 1 :]:
-                    removed |= set(range(m + 1, len(docs[i])))
-            run = None
-            for n in sorted(removed):
-                if run and run[1] == n:
-                    run[1] = n + 1
-                else:
-                    run and out.add((i, src, *run, run[1] - run[0]))
-                    run = [n, n + 1]
-            run and out.add((i, src, *run, run[1] - run[0]))
+    for n, (i, mine) in enumerate(docs):
+        have = {x for _, _, x in mine}
+        for _, theirs in docs[:n]:
+            if have & {x for _, _, x in theirs}:
+                for p, _ in L.patience([x for _, _, x in mine], [x for _, _, x in theirs]):
+                    if sum(x == mine[p][2] for _, _, x in mine) == 1:
+                        out |= {(i, k) for k in range(*mine[p][:2])}
     return out
 
 
+def _removed(blocks):
+    return {(i, n) for i, _, s, e, _ in blocks for n in range(s, e)}
+
+
 def test_equals_brute_force(spark, sf):
     docs = documents(spark, sf)
     got = [tuple(r) for r in L.common_blocks(docs).collect()]
     assert len(got) == len(set(got)) > 10
-    assert set(got) == brute_blocks([(r.doc_id, r.text) for r in docs.collect()], L.MIN_BYTES)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert set(got) == brute_blocks(rows, L.MIN_BYTES)
+    assert all_pairs(rows, L.MIN_BYTES) <= _removed(got)
 
 
 def test_small_corpora(spark):
     r = random.Random(8)
-    pool = [f"a line that is long enough number {i}" for i in range(12)] + ["x", "", "short"]
+    pool = [f"a line that is long enough number {i}" for i in range(12)] + ["x", "", "short", "a few", "words"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 9)))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(x) for x in L.common_blocks(docs).collect()} == brute_blocks(rows, L.MIN_BYTES)
+    got = {tuple(x) for x in L.common_blocks(docs).collect()}
+    assert got == brute_blocks(rows, L.MIN_BYTES)
+    every = all_pairs(rows, L.MIN_BYTES)
+    assert len(every & _removed(got)) >= 0.97 * len(every)
+
+
+def test_orders_that_several_documents_share(spark):
+    x, y = "a line that is long x", "a line that is long y"
+    found = lambda *ts: {tuple(r) for r in L.common_blocks(spark.createDataFrame(list(enumerate(ts, 1)), "doc_id long, text string")).collect()}
+    got = found(f"{x}\n{y}", f"{y}\n{x}", f"{y}\n{x}")  # the third is the second's copy
+    assert (3, 2, 0, 2, 2) in got and {r[:1] + r[2:4] for r in got if r[0] == 2} < {(2, 0, 1), (2, 1, 2)}
+    # a block of two whose lines first stand in different documents
+    assert (4, 3, 0, 2, 2) in found(f"{x}\n1", f"{y}\n2", f"{x}\n{y}", f"{x}\n{y}\n4")
+    # lines that cross in the earliest holder go with the next one
+    between = "\n".join(f"only one has this line {i}" for i in range(3))
+    got = found(f"{x}\n{y}", f"{y}\n{between}\n{x}", f"{y}\nsomething else is here now\n{x}")
+    assert _removed(got) >= {(3, 0), (3, 2)}
+    # short lines find each other together
+    poem = "\n".join("roses are\nred and\n\nviolets\nare blue".split("\n"))
+    assert (2, 1, 1, 6, 5) in found(poem, "intro\n" + poem, "roses are")
 
 
 def test_deletion(spark):
