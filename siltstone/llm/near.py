@@ -15,11 +15,11 @@ from siltstone.llm.scratch import materialize
 
 #: Words of a shingle; a shingle's weight is how often it occurs.
 SHINGLE = 3
-#: Bands and rows: two documents of weighted Jaccard similarity 0.5 share a band with probability 0.90, of 0.6 with 0.99.
-BANDS, ROWS = 36, 4
+#: Bands and rows: two documents of weighted Jaccard similarity 0.5 share a band and pass the estimate with probability 0.92, of 0.55 with 0.98.
+BANDS, ROWS = 42, 4
 SIMILARITY = 0.5
-#: Estimates are from 144 coordinates; so much below the threshold is accepted, 1.5 standard deviations.
-SLACK = 0.0625
+#: Estimates are from 168 coordinates; so much below the threshold is accepted, two standard deviations.
+SLACK = 0.08
 #: Darts of a stretch of rank, and elements that are sketched at once.
 CELL, ELEMENTS = 4.0, 1 << 19
 
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     are in no group.  Rows that repeat one id are one document and no group by
     themselves.  An empty table gives an empty result.
 
-    One pass over the texts writes 144 bytes of signature and the band hashes
+    One pass over the texts writes 168 bytes of signature and the band hashes
     of each document.  Equal signatures are collapsed first, so that thousands
     of exact copies meet in one aggregation.  Band hashes are counted without
     signatures, and only documents that share one go on.  A bucket's members
