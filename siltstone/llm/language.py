@@ -6,21 +6,20 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernels as K
 from siltstone.llm.docs import numbered, texts
+from siltstone.llm.scratch import materialize
 
-#: At most so many labelled documents are fitted on, the first by the hash of their id; whole texts of them all.
-SAMPLE = 1000
+#: At most so many labelled documents of each language are fitted on, the first by the hash of their id; whole texts of them all.
+SAMPLE = 500
 BITS = 14
 ORDERS = (2, 3, 4)
 #: Decoding losses of the best two codewords that differ by less than this share of the best possible leave a document ambiguous.
 GAP = 0.10
 MIN_GRAMS = 3
-#: Bytes of sample text that the driver works on at once.
-FIT_BLOCK = 1 << 18
 SCHEMA = "doc_id bigint, lang string, n_grams bigint, gap double, ambiguous boolean, accepted boolean"
 
 #: Letters folded to small ones; anything else ASCII ends a word.
@@ -73,18 +72,15 @@ def codewords(k: int) -> np.ndarray:
 
 
 class Coder:
-    """One linear classifier of n-grams for each bit of the code, and the weight of each bit for each class."""
+    """One linear classifier of n-grams for each bit of the code, and the weight of each bit for each class.
 
-    def __init__(self, langs: list[str], docs: list[str], of: list[str]):
+    ``counts`` is how often each language's sample has each n-gram bucket.
+    Bits weigh the same until ``weigh`` has seen how often each is right.
+    """
+
+    def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs, self.code = langs, codewords(len(langs))
-        counts = np.zeros((len(langs), len(ORDERS) << BITS))
-        buf, off = K.text_buffers(pa.array(docs, pa.large_string()))
-        which = np.array([langs.index(x) for x in of])
-        for lo, hi, b, o in K.blocks(buf, off, FIT_BLOCK):
-            for idx, goff in features(b, o):
-                lang = np.repeat(which[lo:hi], np.diff(goff))
-                counts += np.bincount(lang * counts.shape[1] + idx, minlength=counts.size).reshape(counts.shape)
-        p = np.empty_like(counts)
+        p = np.empty(counts.shape)
         for n in range(len(ORDERS)):  # shares within each order, smoothed
             part = slice(n << BITS, (n + 1) << BITS)
             p[:, part] = (counts[:, part] + 0.5) / (counts[:, part].sum(1, keepdims=True) + (1 << BITS) * 0.5)
@@ -93,15 +89,10 @@ class Coder:
             yes, no = p[bit > 0].mean(0), p[bit < 0].mean(0) if (bit < 0).any() else p.mean(0)
             w.append(np.log(yes) - np.log(no))
         self.w = np.ascontiguousarray(np.stack(w, 1).astype(np.float32))
-        right = np.zeros(self.code.shape)
-        seen = np.zeros(len(langs))
-        for lo, hi, b, o in K.blocks(buf, off, FIT_BLOCK):  # n-grams again rather than kept: the driver's memory stays small
-            lang = which[lo:hi]
-            margin, _ = self.margins(features(b, o), len(lang))
-            for i in range(len(langs)):
-                m = margin[lang == i]
-                right[i] += (m * self.code[i] > 0).sum(0)
-                seen[i] += len(m)
+        self.weigh(np.zeros(self.code.shape), np.zeros(len(langs)))
+
+    def weigh(self, right: np.ndarray, seen: np.ndarray) -> None:
+        """Weights from how many of the documents seen of each language each bit told right."""
         acc = (right + 1) / (seen[:, None] + 2)
         self.weight = acc / acc.sum(1, keepdims=True)
 
@@ -123,24 +114,72 @@ class Coder:
         return loss.argmin(1), gap
 
 
+def _summed(frame: DataFrame, size: int, tell) -> dict[str, np.ndarray]:
+    """Sums of tell(buf, off) over texts by language: rows (lang, text) in, one vector of ``size`` numbers a language out, added up by Spark."""
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for lo, hi, buf, off in K.blocks(*K.text_buffers(batch.column(1))):
+                for lang, rows in tell(buf, off, langs[lo:hi]):
+                    total[lang] = total.get(lang, 0) + rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([t.astype(np.float64).tobytes() for t in total.values()], pa.binary())], ["lang", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b) for b in table["part"].to_pylist())
+        return pa.table([table["lang"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["lang", "part"])
+
+    rows = frame.mapInArrow(K.tidy(run), "lang string, part binary").groupBy("lang").applyInArrow(add, "lang string, part binary").collect()
+    return {r.lang: np.frombuffer(r.part) for r in rows if len(r.part) == 8 * size}
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Coder | None:
     """A coder for the values of ``lang``; None if no text has one.
 
-    The sample is bounded by ``sample``, so that fitting on the driver costs
-    the same at every size: ids are ordered by their hash (two narrow columns),
-    and only the texts of those chosen leave the executors.
+    Languages are those of all rows, however rare.  The sample has at most
+    ``sample`` documents of each (ids and languages are ranked by the hash of
+    the id, in groups that Spark limits before it shuffles), and is written to
+    the shared folder.  N-grams are counted by the executors, and so is how
+    often each bit is right; the driver gets a few vectors for each language.
     """
     plain, at = numbered(docs)
     if "lang" not in at:
         return None
     rows = plain.where(F.col(at["doc_id"]).isNotNull() & F.col(at["lang"]).isNotNull()).select(F.col(at["doc_id"]).cast("bigint").alias("doc_id"), F.col(at["lang"]).cast("string").alias("lang"), F.coalesce(F.col(at["text"]).cast("string"), F.lit("")).alias("text"))
-    chosen = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    if not chosen:
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.where("text <> ''").select("doc_id", "lang").withColumn("nth", rank).where(F.col("nth") <= sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "_id bigint, _lang string")  # as many rows as languages times sample
+    taken = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).where("text <> ''").select("lang", "text").distinct()
+    taken = materialize(taken, "labelled")
+    width = len(ORDERS) << BITS
+
+    def grams(buf, off, langs):
+        for idx, goff in features(buf, off):
+            n = np.diff(goff)
+            for lang in set(langs.tolist()):
+                yield lang, np.bincount(idx[np.repeat(langs == lang, n)], minlength=width)
+
+    counts = _summed(taken, width, grams)
+    if not counts:
         return None
-    got = sorted({(r.doc_id, r.lang, r.text) for r in rows.where(F.col("doc_id").isin(chosen)).collect() if r.text})
-    if not got:
-        return None
-    return Coder(sorted({r[1] for r in got}), [r[2] for r in got], [r[1] for r in got])
+    langs = sorted(counts)
+    coder = Coder(langs, np.stack([counts[x] for x in langs]))
+    shared = docs.sparkSession.sparkContext.broadcast(coder)
+    bits = coder.code.shape[1]
+
+    def right(buf, off, of):
+        model = shared.value
+        margin, _ = model.margins(features(buf, off), len(of))
+        for i, lang in enumerate(model.langs):
+            m = margin[of == lang]
+            if len(m):
+                yield lang, np.append((m * model.code[i] > 0).sum(0), len(m))
+
+    told = _summed(taken, bits + 1, right)
+    of = np.stack([told.get(x, np.zeros(bits + 1)) for x in langs])
+    coder.weigh(of[:, :bits], of[:, bits])
+    return coder
 
 
 def identify(docs: DataFrame, coder: Coder | None = None, gap: float = GAP, sample: int = SAMPLE) -> DataFrame:
@@ -148,6 +187,9 @@ def identify(docs: DataFrame, coder: Coder | None = None, gap: float = GAP, samp
 
     ``ambiguous`` if the best two codewords are nearer than ``gap``, or the
     text has fewer than three n-grams of letters; then ``accepted`` is false.
+    Of codewords equally near the first language in the alphabet is told, and
+    the text is ambiguous.  Texts of any length are read whole; columns beside
+    ``doc_id``, ``text`` and ``lang`` are ignored, whatever their names.
     Null, empty and letterless texts get a null language and are ambiguous.
     Without any labelled text nothing can be told: languages are null and
     everything is accepted.  An empty table gives an empty result; repeated
