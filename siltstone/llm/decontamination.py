@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernels as K
-from siltstone.llm.docs import texts, without
+from siltstone.llm.docs import numbered, texts, without
 
 #: Dimensions of the latent space, and more that the sketch of the range has.
 RANK, OVERSAMPLING, POWER = 256, 16, 2
@@ -368,14 +368,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
 
     Items without words, null ids and null texts find nothing; nor do empty
     texts; an empty benchmark or empty documents give an empty result.
-    Repeated rows of a document are reported each, repeated items too.
+    Repeated rows of a document are reported each, repeated items too; of equally
+    good places the first of the smallest window size is told.  Texts of any
+    length are read whole, and columns beside ids and texts are ignored,
+    whatever their names, in both tables.
 
     Two maps over the texts for each slice of the benchmark, no shuffle of
     them; benchmarks beyond ``SLICE_WORDS`` words are searched slice by slice,
     so that what is broadcast has a bound.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    plain, at = numbered(benchmark)
+    items = plain.select(F.col(at["item_id"]).cast("bigint").alias("item_id"), F.col(at["text"]).cast("string").alias("text")).where("item_id is not null and text is not null")
     out = None
     for part in slices(sorted((r[0], r[1]) for r in items.toLocalIterator())):
         shared = spark.sparkContext.broadcast(prepare(docs, part, rank))

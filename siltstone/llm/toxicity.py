@@ -334,15 +334,16 @@ def fit(docs: DataFrame, labels: DataFrame, words=LEXICON, sample: int = SAMPLE)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([clean.get(p, 0) for p in keys], pa.int64()), pa.array([toxic.get(p, []) for p in keys], pa.list_(pa.int64()))], ["stem", "clean", "toxic"])
 
     counted = found.mapInArrow(K.tidy(count), "stem string, clean bigint, toxic array<bigint>").groupBy("stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic"))
-    counted = counted.where((F.col("stem").startswith("=") & (F.col("clean") >= 2)) | (F.size("toxic") >= SUPPORT)).toArrow()
+    weight = {t: total.get(t, 0) / max(1, min(total.get(t, 0), sample)) for t in (False, True)}
+    scale, bad = weight[False] / weight[True], F.size("toxic")
+    counted = counted.where((F.col("stem").startswith("=") & (F.col("clean") >= 2)) | ((bad >= SUPPORT) & (bad >= PRECISION * (bad + scale * F.col("clean"))))).toArrow()  # what cover() may take
     clean, toxic, known = {}, {}, set(KNOWN)
     for p, n, d in zip(*(counted[c].to_pylist() for c in ("stem", "clean", "toxic"))):
         if p[0] == "=":
             known.add(p[1:])
         else:
             clean[p], toxic[p] = n, d
-    weight = {t: total.get(t, 0) / max(1, min(total.get(t, 0), sample)) for t in (False, True)}
-    return Lexicon(tuple(words), tuple(cover(clean, toxic, weight[False] / weight[True])), frozenset(known))
+    return Lexicon(tuple(words), tuple(cover(clean, toxic, scale)), frozenset(known))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, lexicon: Lexicon | tuple = LEXICON, threshold: int = THRESHOLD, window: int = WINDOW) -> DataFrame:
