@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import annotate, col
-from siltstone.operators.lines import rule_of, text_of
+from siltstone.operators.lines import fingerprint_plain
 from siltstone.plans.dialect import SparkText, trim
 
 _COUNT = "(?:,[0-9]+)?"
@@ -36,10 +37,12 @@ def hunks(diff: DataFrame) -> DataFrame:
 
 
 def context_ir(context) -> Column:
-    """Context lines as IR, noise left out."""
-    t = F.transform(col(context), lambda s: trim(SparkText, s))
-    t = F.transform(t, lambda s: F.struct(s.alias("t"), rule_of(SparkText, s).alias("r")))
-    return F.array_join(F.filter(F.transform(t, lambda s: text_of(SparkText, s["r"], s["t"])), lambda s: s != ""), "\n")
+    """Context lines as IR, noise left out; in an Arrow UDF, so not inside of a lambda."""
+
+    def run(context: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else fingerprint_plain(c) for c in context], dtype=object)
+
+    return F.pandas_udf(run, "string")(col(context))
 
 
 def delta_context(diff: DataFrame) -> DataFrame:

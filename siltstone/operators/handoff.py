@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import sha12, token_count
-from siltstone.operators.lines import DEEP, extension, l1
+from siltstone.operators.lines import DEEP, SYNTAX, extension, l1
 
 TOP = 8
 
@@ -16,11 +16,11 @@ def top_hotspots(hotspots: DataFrame, k: int = TOP) -> DataFrame:
     return hotspots.orderBy(F.desc("changes"), "file").limit(k).select("file", "changes", F.round("fix_ratio", 2).alias("fix_ratio"))
 
 
-def changed_files(status: DataFrame, files: DataFrame) -> DataFrame:
+def changed_files(status: DataFrame, files: DataFrame, engine: str = SYNTAX) -> DataFrame:
     """(path, status, hash, tokens, ir) of changed files in deep languages; deleted and missing ones have nothing in them."""
     x = status.where(extension("path").isin(*DEEP)).join(files.select("path", "code"), "path", "left")
     gone = (F.col("status") == "deleted") | F.col("code").isNull()
-    x = x.withColumn("ir", F.when(gone, "").otherwise(l1("path", "code")))
+    x = x.withColumn("ir", F.when(gone, "").otherwise(l1("path", "code", engine)))
     return x.select("path", "status", F.when(gone, "").otherwise(sha12("code")).alias("hash"), token_count("ir").alias("tokens"), "ir")
 
 

@@ -6,12 +6,15 @@ functions: a file is a row, so that nothing is exploded and shuffled back.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import col, token_count
-from siltstone.plans.dialect import SparkText, bare, rx, squeeze, trim
+from siltstone.functions.text import col, slice_lines, token_count
+from siltstone.plans.dialect import Plain, SparkText, bare, compiled, rx, squeeze, trim
 from siltstone.plans.once import once
 
 _EXTENSIONS = {"go": "go", "javascript": "js jsx mjs", "python": "py", "rust": "rs", "typescript": "ts tsx"}
@@ -147,23 +150,87 @@ def confidence_of(rule) -> Column:
     return out.otherwise(0.1)
 
 
+@lru_cache(1 << 16)
+def ruled(line: str) -> tuple[int, str]:
+    """(rule, what the line becomes) of a trimmed line; lines repeat, so that most are looked up."""
+    if line in ("", "{", "}", "});", ");") or line.startswith(("//", "/*", "*")):
+        return SKIP, ""
+    for i, (p, _, build) in enumerate(RULES, 1):
+        if compiled(p).search(line):
+            return i, build(Plain, lambda n, p=p: Plain.extract(line, p, n), line)
+    return RAW, line
+
+
+_CONFIDENCE = {SKIP: 1.0, RAW: 0.1} | {i: r[1] for i, r in enumerate(RULES, 1)}
+_EDGE = " \t\n\x0b\f\r"
+
+
+def fingerprint_text(code: str, least: float = 0.6) -> str:
+    """The lines of a text whose confidence is ``least`` or more, indented by pairs of blanks."""
+    out = []
+    for raw in code.split("\n"):
+        line = raw.strip(_EDGE)
+        r, ir = ruled(line)
+        if ir and r != SKIP and _CONFIDENCE[r] >= least:
+            out.append("  " * ((len(raw) - len(raw.lstrip(_EDGE))) // 2) + ir)
+    return "\n".join(out)
+
+
+def fingerprint_plain(lines) -> str:
+    """The texts of some lines, whatever their confidence, without indents and noise."""
+    found = (ruled(x.strip(_EDGE))[1] for x in lines if x is not None)
+    return "\n".join(x for x in found if x)
+
+
 def fingerprint_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``kind``, ``ir``, ``hint`` and ``confidence`` to rows with ``raw``: the rule is found once, its text built from it."""
-    x = once(lines.withColumn("_t", trim(SparkText, F.col("raw"))).withColumn("_r", rule_of(SparkText, F.col("_t"))))
-    x = x.withColumn("ir", text_of(SparkText, F.col("_r"), F.col("_t"))).withColumn("confidence", confidence_of(F.col("_r")))
+    """Adds ``kind``, ``ir``, ``hint`` and ``confidence`` to rows with ``raw``.
+
+    The 32 rules are regular expressions of which the first that fits counts;
+    as one CASE they make a method that the JVM doesn't compile.  An Arrow UDF
+    finds rule and text together, and a line that repeats only once.
+    """
+
+    def run(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([ruled(x.strip(_EDGE)) if x is not None else (None, None) for x in raw], columns=["r", "ir"])
+
+    x = lines.withColumn("_f", F.pandas_udf(run, "r int, ir string")(F.col("raw")))
+    x = once(x.withColumn("_r", F.col("_f.r")).withColumn("ir", F.col("_f.ir")).drop("_f"))
+    x = x.withColumn("confidence", confidence_of(F.col("_r")))
     x = x.withColumn("kind", F.when(F.col("_r") == RAW, "raw").when(F.col("confidence") > 0.9, "fingerprint").otherwise("fingerprint+hint"))
-    return once(x.withColumn("hint", F.when(F.col("kind") == "fingerprint+hint", F.col("_t"))).drop("_t", "_r"))
+    return once(x.withColumn("hint", F.when(F.col("kind") == "fingerprint+hint", trim(SparkText, F.col("raw")))).drop("_r"))
 
 
 def fingerprint_file(code, least: float = 0.6) -> Column:
-    """A file's lines of confidence ``least`` or more, indented by pairs of blanks."""
-    ruled = F.transform(F.split(col(code), "\n"), lambda raw: F.struct(F.floor(F.greatest(indent(raw), F.lit(0)) / 2).cast("int").alias("deep"), trim(SparkText, raw).alias("t")))
-    ruled = F.transform(ruled, lambda s: F.struct(s["deep"].alias("deep"), s["t"].alias("t"), rule_of(SparkText, s["t"]).alias("r")))
-    weak = [i for i, r in enumerate(RULES, 1) if r[1] < least] + ([RAW] if least > 0.1 else [])
-    ruled = F.filter(ruled, lambda s: ~s["r"].isin(SKIP, *weak))
-    texts = F.transform(ruled, lambda s: F.struct(s["deep"].alias("deep"), text_of(SparkText, s["r"], s["t"]).alias("ir")))
-    texts = F.filter(texts, lambda s: s["ir"] != "")
-    return F.array_join(F.transform(texts, lambda s: F.concat(F.repeat(F.lit("  "), s["deep"]), s["ir"])), "\n")
+    """A file's lines of confidence ``least`` or more, indented by pairs of blanks; in an Arrow UDF, so not inside of a lambda."""
+
+    def run(code: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else fingerprint_text(c, least) for c in code], dtype=object)
+
+    return F.pandas_udf(run, "string")(col(code))
+
+
+#: Engines that compress a file: its syntax first and then its lines, or its lines only.
+SYNTAX, BY_LINES = "syntax", "lines"
+
+
+def text_ir(code: str, lang: str | None, engine: str = SYNTAX) -> tuple[str, str]:
+    """(IR, engine that made it: AST or FP) of a text in a deep language; lines stand in where the syntax gives nothing."""
+    if engine == SYNTAX:
+        from siltstone.operators.syntax import syntax_ir
+
+        found = syntax_ir(code, lang)
+        if found is not None:
+            return found, "AST"
+    return fingerprint_text(code, 0.75), "FP"
+
+
+def deep_ir(code, lang, engine: str = SYNTAX) -> Column:
+    """(ir, made_by) of a file in a deep language, null fields for null code; an Arrow UDF."""
+
+    def run(code: pd.Series, lang: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_ir(c, x, engine) if c is not None else (None, None) for c, x in zip(code, lang)], columns=["ir", "made_by"])
+
+    return F.pandas_udf(run, "ir string, made_by string")(col(code), col(lang))
 
 
 #: Statements that call, rather than declare.
@@ -208,11 +275,23 @@ def generic_line(d, line):
     )
 
 
+@lru_cache(1 << 16)
+def _declared(line: str) -> str:
+    return generic_line(Plain, line)
+
+
+def generic_text(code: str) -> str:
+    """The declarations of a text in order, each once."""
+    return "\n".join(dict.fromkeys(d for raw in code.split("\n") if (d := _declared(raw.strip(_EDGE)))))
+
+
 def generic_structure(code) -> Column:
-    """The declarations of a file in order, each once."""
-    out = F.transform(F.split(col(code), "\n"), lambda raw: trim(SparkText, raw))
-    out = F.transform(out, lambda line: generic_line(SparkText, line))
-    return F.array_join(F.array_distinct(F.filter(out, lambda s: s != "")), "\n")
+    """The declarations of a file in order, each once; in an Arrow UDF, so not inside of a lambda."""
+
+    def run(code: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else generic_text(c) for c in code], dtype=object)
+
+    return F.pandas_udf(run, "string")(col(code))
 
 
 def extension(path) -> Column:
@@ -232,23 +311,56 @@ def language(path) -> Column:
 NAME = rx(r"(?:class|interface|function|var|let|const|export·(?:default·)?(?:class|async·function|function))·¤")
 
 
-def map_lines(code) -> Column:
-    """Top-level declarations of a file of a deep language, with their line numbers."""
-    rows = F.transform(F.split(col(code), "\n"), lambda raw, i: F.struct(raw.alias("raw"), (i + 1).alias("n"), classify(SparkText, first_token(SparkText, raw)).alias("k")))
-    rows = F.filter(rows, lambda s: (indent(s["raw"]) == 0) & s["k"].isin("function-start", "type-start", "export"))
-    name = lambda s: F.coalesce(F.nullif(F.regexp_extract(s["raw"], NAME, 1), F.lit("")), F.lit("unknown"))
-    return F.array_join(F.transform(rows, lambda s: F.concat(F.lit("  "), F.when(s["k"] == "type-start", "CLASS").otherwise("FN"), F.lit(":"), name(s), F.lit(" L"), s["n"].cast("string"))), "\n")
+@lru_cache(1 << 16)
+def _kind(token: str) -> str:
+    return classify(Plain, token)
+
+
+def map_text(code: str) -> str:
+    """Top-level declarations of a text in a deep language, with their line numbers."""
+    out = []
+    for n, raw in enumerate(code.split("\n"), 1):
+        if raw and raw[0] not in _EDGE and (kind := _kind(first_token(Plain, raw))) in ("function-start", "type-start", "export"):
+            out.append(f"  {'CLASS' if kind == 'type-start' else 'FN'}:{Plain.extract(raw, NAME, 1) or 'unknown'} L{n}")
+    return "\n".join(out)
+
+
+def extension_of(path: str) -> str:
+    """extension() of a Python string."""
+    m = compiled(r"(\.[^./]+)$").search(path)
+    return m[1] if m else ""
+
+
+def layers_of(path: str, code: str, engine: str = SYNTAX) -> tuple[str, str, str]:
+    """(structure map, IR, engine that made it) of one file."""
+    ext = extension_of(path)
+    if ext.lower() in GENERIC:
+        ir, made = generic_text(code), "GENERIC"
+        return f"{path}\n{ir}", ir, made
+    return (f"{path}\n{map_text(code)}", *text_ir(code, LANGUAGES.get(ext), engine))
+
+
+def _layers(path, code, engine: str) -> Column:
+    """(l0, ir, made_by), null fields where path or code is null: one Arrow UDF for all that is made of a file."""
+
+    def run(path: pd.Series, code: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([layers_of(p, c, engine) if p is not None and c is not None else (None,) * 3 for p, c in zip(path, code)], columns=["l0", "ir", "made_by"])
+
+    return F.pandas_udf(run, "l0 string, ir string, made_by string")(col(path), col(code))
 
 
 def l0(path, code) -> Column:
     """The structure map of a file: its path, and a line for each declaration."""
-    return F.concat(col(path), F.lit("\n"), F.when(is_generic(path), generic_structure(code)).otherwise(map_lines(code)))
 
+    def run(path: pd.Series, code: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or c is None else f"{p}\n{generic_text(c) if extension_of(p).lower() in GENERIC else map_text(c)}" for p, c in zip(path, code)], dtype=object)
+
+    return F.pandas_udf(run, "string")(col(path), col(code))
 
-def l1(path, code) -> Column:
+
+def l1(path, code, engine: str = SYNTAX) -> Column:
     """The IR of a file where that is shorter in tokens, else the file."""
-    ir = F.when(is_generic(path), generic_structure(code)).otherwise(fingerprint_file(code, 0.75))
-    return shorter(ir, code)
+    return shorter(_layers(path, code, engine)["ir"], code)
 
 
 def shorter(ir, code) -> Column:
@@ -256,14 +368,30 @@ def shorter(ir, code) -> Column:
     return F.when(F.coalesce(col(ir), F.lit("")).rlike(r"\S") & (token_count(ir) < token_count(code)), col(ir)).otherwise(col(code))
 
 
-def with_layers(files: DataFrame) -> DataFrame:
-    """Adds ``l0``, ``l1`` and their tokens to rows with ``path`` and ``code``; the IR is computed once."""
-    x = files.withColumn("_ir", F.when(is_generic("path"), generic_structure("code")).otherwise(fingerprint_file("code", 0.75)))
-    x = once(x.withColumn("l0", l0("path", "code")))
-    x = once(x.withColumn("l1", shorter("_ir", "code")).drop("_ir"))
+def with_layers(files: DataFrame, engine: str = SYNTAX) -> DataFrame:
+    """Adds ``l0``, ``l1``, their tokens and ``made_by`` (AST, FP or GENERIC) to rows with ``path`` and ``code``; one UDF makes both."""
+    x = once(files.withColumn("_f", _layers("path", "code", engine)))
+    x = x.withColumn("l0", F.col("_f.l0")).withColumn("made_by", F.col("_f.made_by"))
+    x = once(x.withColumn("l1", shorter("_f.ir", "code")).drop("_f"))
     return x.withColumn("raw_tokens", token_count("code")).withColumn("l0_tokens", token_count("l0")).withColumn("l1_tokens", token_count("l1"))
 
 
+#: The layers of a file, from names to source.
+LAYERS = ("L0", "L1", "L2", "L3")
+
+
+def layer(path, code, which: str, delta=None, lines: tuple[int, int] | None = None, engine: str = SYNTAX) -> Column:
+    """A file in one of the layers: L0 its structure map, L1 its IR, L2 the delta that is given (its IR where there is none), L3 the source, or a range of its lines counted from 1."""
+    if which not in LAYERS:
+        raise ValueError(f"a layer is one of {', '.join(LAYERS)}")
+    if which == "L0":
+        return l0(path, code)
+    if which == "L3":
+        return col(code) if lines is None else slice_lines(code, *lines)
+    ir = l1(path, code, engine)
+    return F.coalesce(F.nullif(col(delta), F.lit("")), ir) if which == "L2" and delta is not None else ir
+
+
 def merge_runs(ir: DataFrame, pattern: str, least: int, head: str, item, keep) -> DataFrame:
     """Runs of ``least`` or more lines that match become one: rows of (path, ord, line).
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import identifier_variants, plain_name
-from siltstone.operators.lines import with_layers
+from siltstone.operators.lines import SYNTAX, with_layers
 from siltstone.plans.dialect import rx
 from siltstone.sources.shared import materialize
 
@@ -121,7 +121,7 @@ def first_fit(items: DataFrame, budget: int) -> DataFrame:
     return items.join(done, ["chunk", "ord"])
 
 
-def pack(files: DataFrame, budget: int, hot: DataFrame | None = None, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+def pack(files: DataFrame, budget: int, hot: DataFrame | None = None, target: str | None = None, engine: str = SYNTAX) -> tuple[DataFrame, DataFrame]:
     """(entries, summary) of files (path, file_ord, code) packed into a budget of tokens.
 
     entries: (path, layer, ir, tokens, is_target).  The target comes whole (L3)
@@ -135,7 +135,7 @@ def pack(files: DataFrame, budget: int, hot: DataFrame | None = None, target: st
     matched_by, downgraded, missing, truncated).
     """
     spark = files.sparkSession
-    layered = materialize(with_layers(files.select("path", "file_ord", "code")), "layers")
+    layered = materialize(with_layers(files.select("path", "file_ord", "code"), engine), "layers")
     found = resolve_target(layered, target).first() if target else None
     goal = found["path"] if found else None
     big, used, downgraded = [], 0, False

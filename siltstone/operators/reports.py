@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import LITERAL, dollars
-from siltstone.operators.lines import DEEP, GENERIC, UNSUPPORTED, extension, is_generic, language, with_layers
+from siltstone.operators.lines import BY_LINES, DEEP, GENERIC, SYNTAX, UNSUPPORTED, extension, is_generic, language, with_layers
 
 
-def benchmark_files(files: DataFrame) -> DataFrame:
-    """(path, raw_tokens, l0_tokens, l1_tokens, saved_percent, engine) of files (path, code)."""
-    x = with_layers(files.select("path", "code"))
-    engine = F.when(is_generic("path"), "GENERIC").when(language("path").isNotNull(), "LINES").otherwise("NONE")
+def benchmark_files(files: DataFrame, engine: str = SYNTAX) -> DataFrame:
+    """(path, raw_tokens, l0_tokens, l1_tokens, saved_percent, engine) of files (path, code).
+
+    ``engine`` is AST or FP (lines in place of a syntax that gave nothing),
+    LINES where only lines are asked for, GENERIC or NONE.
+    """
+    x = with_layers(files.select("path", "code"), engine)
+    made = F.lit("LINES") if engine == BY_LINES else F.col("made_by")
+    engine = F.when(is_generic("path"), "GENERIC").when(language("path").isNotNull(), made).otherwise("NONE")
     saved = F.when(F.col("raw_tokens") > 0, (F.col("raw_tokens") - F.col("l1_tokens")) / F.col("raw_tokens") * 100).otherwise(0.0)
     return x.select("path", "raw_tokens", "l0_tokens", "l1_tokens", saved.alias("saved_percent"), engine.alias("engine"))
 
 
-def benchmark_summary(per_file: DataFrame) -> DataFrame:
+def benchmark_summary(per_file: DataFrame, engine: str = SYNTAX) -> DataFrame:
     """One row: sums, counts by engine, and what the sums save."""
-    g = per_file.agg(F.count("*").alias("files"), F.sum("raw_tokens").alias("raw_tokens"), F.sum("l0_tokens").alias("l0_tokens"), F.sum("l1_tokens").alias("l1_tokens"), *(F.count_if(F.col("engine") == e).alias(f"n_{e.lower()}") for e in ("GENERIC", "LINES", "NONE")))
+    engines = ("GENERIC", "LINES", "NONE") if engine == BY_LINES else ("AST", "FP", "GENERIC", "NONE")
+    g = per_file.agg(F.count("*").alias("files"), F.sum("raw_tokens").alias("raw_tokens"), F.sum("l0_tokens").alias("l0_tokens"), F.sum("l1_tokens").alias("l1_tokens"), *(F.count_if(F.col("engine") == e).alias(f"n_{e.lower()}") for e in engines))
     return g.withColumn("saved_percent", F.when(F.col("raw_tokens") > 0, (F.col("raw_tokens") - F.col("l1_tokens")) / F.col("raw_tokens") * 100).otherwise(0.0))
 
 

@@ -1,7 +1,10 @@
-"""One text rule, two engines: builds Spark columns, or the SQL text that checks them."""
+"""One text rule, three engines: Spark columns, Python strings in an Arrow UDF, and the SQL text that checks both."""
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,6 +95,78 @@ class SparkText:
         return x.isin(*values)
 
 
+class Plain:
+    """The same worked out on Python strings, for Arrow UDFs; patterns are ASCII's, as Java's are."""
+
+    @staticmethod
+    def _find(x: str, pattern: str):
+        return compiled(pattern).search(x)
+
+    lit = str
+
+    @staticmethod
+    def cat(*xs) -> str:
+        return "".join(xs)
+
+    @classmethod
+    def extract(cls, x: str, pattern: str, group: int) -> str:
+        m = cls._find(x, pattern)
+        return (m[group] or "") if m else ""
+
+    @classmethod
+    def has(cls, x: str, pattern: str) -> bool:
+        return cls._find(x, pattern) is not None
+
+    @staticmethod
+    def sub(x: str, pattern: str, by: str = "") -> str:
+        return compiled(pattern).sub(by, x)
+
+    @staticmethod
+    def choose(cases, other):
+        return next((then for when, then in cases if when), other)
+
+    @staticmethod
+    def eq(x, s) -> bool:
+        return x == s
+
+    @staticmethod
+    def starts(x: str, s: str) -> bool:
+        return x.startswith(s)
+
+    @staticmethod
+    def left(x: str, n: int) -> str:
+        return x[:n]
+
+    @staticmethod
+    def sub_at(x: str, start: int, n: int) -> str:
+        return x[start - 1 : start - 1 + max(0, n)]
+
+    @staticmethod
+    def find(x: str, y: str) -> int:
+        return x.find(y) + 1
+
+    @staticmethod
+    def length(x: str) -> int:
+        return len(x)
+
+    @staticmethod
+    def both(a: bool, b: bool) -> bool:
+        return a and b
+
+    @staticmethod
+    def either(a: bool, b: bool) -> bool:
+        return a or b
+
+    @staticmethod
+    def member(x: str, values) -> bool:
+        return x in values
+
+
+@cache
+def compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.ASCII)
+
+
 class DuckText:
     """The same as SQL text."""
 

@@ -79,6 +79,8 @@ def _line(div: str) -> str:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, file_ord, ext, code): one file for each order, its lines made in the row, so that nothing is shuffled."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"))
+    if o.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):  # keys of few row groups become files for all cores
+        o = o.repartition(cores)
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("o") % 5 + 1).cast("int"))
     lines = F.expr(f"transform(sequence(1, CAST(8 + o % 9 AS INT)), n -> {_line('div')})")
     return once(o.select(F.concat(F.lit("src/f"), F.col("o").cast("string"), ext).alias("path"), F.col("o").alias("file_ord"), ext.alias("ext"), F.array_join(lines, "\n").alias("code")))

@@ -7,7 +7,7 @@ from siltstone.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow ones have their own tests; the driver runs them all.
-SOME = ("token_stats_by_lang", "line_structure", "fingerprint_file", "generic_structure", "l1_ir", "hotspots", "author_style_mode", "health", "fix_links_72h", "verdict", "diff_hunks", "fence_compress", "debounce_islands", "cochange_v2")
+SOME = ("backtest_confusion", "auc", "threshold_sweep", "handoff_reuse", "coverage_warning", "fingerprint_lines", "benchmark_files", "delta_context", "pack_upgrade", "read_decision", "token_stats_by_lang", "line_structure", "fingerprint_file", "generic_structure", "l1_ir", "hotspots", "author_style_mode", "health", "fix_links_72h", "verdict", "diff_hunks", "fence_compress", "debounce_islands", "cochange_v2")
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_equals_sql(spark, sf, duck, name):
 
 
 def test_all_but_syntax_have_sql(spark, sf):
-    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"ast_ir", "symbol_diff"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"ast_ir", "symbol_diff", "layers", "syntax_benchmark_files", "syntax_benchmark_summary", "syntax_handoff_delta", "syntax_fence_compress", "syntax_pack_summary"}
     kinds = {r.change for r in catalog.QUERIES["symbol_diff"](spark, sf).collect()}
     assert kinds == {"added", "deleted"}
     assert catalog.QUERIES["ast_ir"](spark, sf).where("engine = 'AST'").count() > 100
@@ -46,3 +46,51 @@ def test_truth_has_every_broken_file(spark, monkeypatch):
     touches = spark.createDataFrame(rows, "event_id long, hash string, author string, file int, message string, second long")
     monkeypatch.setattr(catalog.S, "touches", lambda *_: touches)
     assert sorted(r.file for r in catalog._truth(spark, "").collect()) == [1, 2]
+
+
+def test_syntax_first(spark, sf):
+    """Every file by the syntax walk on its own, lines where that gives nothing, the source where the IR isn't shorter."""
+    from siltstone.operators import lines, syntax
+
+    def tokens(text):
+        return len(lines.compiled(catalog.T.TOKEN).findall(text))
+
+    files = {r.path: r.code for r in catalog.S.code_files(spark, sf).collect()}
+    got = {r.path: r for r in catalog.QUERIES["syntax_benchmark_files"](spark, sf).collect()}
+    shown = {r.path: r for r in catalog.QUERIES["layers"](spark, sf).collect()}
+    assert set(got) == set(files) == set(shown)
+    made = {"AST": 0, "FP": 0, "GENERIC": 0, "NONE": 0}
+    for path, code in files.items():
+        lang = lines.LANGUAGES.get(lines.extension_of(path))
+        walked = syntax.syntax_ir(code, lang) if lang else None
+        generic = lines.extension_of(path) in lines.GENERIC
+        ir = lines.generic_text(code) if generic else walked if walked is not None else lines.fingerprint_text(code, 0.75)
+        best = ir if ir.strip() and tokens(ir) < tokens(code) else code
+        engine = "GENERIC" if generic else "NONE" if not lang else "AST" if walked is not None else "FP"
+        made[engine] += 1
+        assert (got[path].engine, got[path].l1_tokens) == (engine, tokens(best)), path
+        assert (shown[path].l1, shown[path].l2, shown[path].l3) == (best, best, code)
+        assert shown[path].l0.startswith(path + "\n")
+    assert made["AST"] > 100 and made["GENERIC"] and made["NONE"]
+    s = catalog.QUERIES["syntax_benchmark_summary"](spark, sf).first()
+    assert (s.n_ast, s.n_fp, s.n_generic, s.n_none) == tuple(made[k] for k in ("AST", "FP", "GENERIC", "NONE"))
+
+
+def test_plain_rules_equal_columns(spark):
+    """The rules worked out in Python and as Spark columns."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import lines
+    from siltstone.plans.dialect import SparkText, trim
+
+    made = [r.raw for r in catalog.S.code_lines(spark, "/root/testdata/sf0.001").select("raw").distinct().limit(400).collect()]
+    odd = ["", "   ", "\treturn;", "  } catch (e) {", "case 'é': ", "const {a, b} = f(x);", "let [x, y] = z", "export const g = async (a) => { ", "get x() {", "set y(v) {", "if (x) return y;", "if (ok) go(1, 2)", "for (const a of b) {", "switch (x) {", "default:", "const ünï = 3", "foo(a, b) {", "if (a) {", "while (x) {", "import x from 'y'", "const m = require('n')", "// note", "* star", "});", "\u00a0return 1"]
+    t = trim(SparkText, F.col("raw"))
+    df = spark.createDataFrame([(x,) for x in made + odd], "raw string").withColumn("t", t)
+    df = df.withColumn("r", lines.rule_of(SparkText, F.col("t"))).withColumn("ir", lines.text_of(SparkText, F.col("r"), F.col("t"))).withColumn("g", lines.generic_line(SparkText, F.col("t")))
+    df = df.withColumn("k", lines.classify(SparkText, lines.first_token(SparkText, F.col("raw"))))
+    from siltstone.plans.dialect import Plain
+
+    for r in df.collect():
+        line = r.raw.strip(lines._EDGE)
+        assert (line, *lines.ruled(line), lines._declared(line), lines._kind(lines.first_token(Plain, r.raw))) == (r.t, r.r, r.ir, r.g, r.k), r.raw

@@ -153,14 +153,16 @@ CODE = "export function f(a, b) {\n  // a comment that is long enough to lose\n
 def test_fences(spark):
     texts = [f"see\n```ts src/foo.ts\n{CODE}\n```\nend", f"```python\n{CODE}\n```", "```json\n{}\n```", "```ts\nx\n```", "none", None]
     m = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = {r.i: r for r in messages.compress_text(m).collect()}
+    got = {r.i: r for r in messages.compress_text(m, engine="lines").collect()}
+    first = messages.compress_text(m).where("i = 0").first()  # by syntax
+    assert first.text == "see\n```ts src/foo.ts\nOUT FN:f(a, b)\n  RET a\n```\nend" and first.blocks_compressed == 1
     assert got[0].text == "see\n```ts src/foo.ts\nOUT FN:f(a,b)\n  RET a\n```\nend" and got[0].blocks_compressed == 1
     assert got[1].blocks_compressed == 1 and got[0].raw_tokens > got[0].ir_tokens
     assert all(got[i].text == texts[i] and got[i].blocks_compressed == 0 for i in (2, 3, 4, 5))
     paths = [r.path for r in messages.fence_blocks(m, "i").orderBy("i").collect()]
     assert paths == ["src/foo.ts", "snippet.py", None, "snippet.ts"]
     body = [("s\n```ts\n" + CODE + "\n```", [("user", texts[0], [("text", texts[1]), ("image", None)])])]
-    out = messages.compress_bodies(spark.createDataFrame(body, "system string, messages array<struct<role:string,content:string,blocks:array<struct<type:string,text:string>>>>")).first()
+    out = messages.compress_bodies(spark.createDataFrame(body, "system string, messages array<struct<role:string,content:string,blocks:array<struct<type:string,text:string>>>>"), "lines").first()
     assert "RET a" in out.system and "RET a" in out.messages[0].content and "RET a" in out.messages[0].blocks[0].text and out.messages[0].blocks[1].text is None
 
 
