@@ -81,12 +81,11 @@ def compress_bodies(bodies: DataFrame, engine: str = SYNTAX) -> DataFrame:
     untouched.  All texts of a body go through one array, since an Arrow UDF
     can't be called inside of a lambda, and back to their places.
     """
-    x = bodies.withColumn("_id", F.monotonically_increasing_id())
     m = F.col("messages")
     inner = F.flatten(F.transform(m, lambda m: F.coalesce(F.transform(m["blocks"], lambda b: b["text"]), F.array().cast("array<string>"))))
     system = F.array(F.col("system")) if "system" in bodies.columns else F.array().cast("array<string>")
     texts = F.concat(system, F.coalesce(F.transform(m, lambda m: m["content"]), F.array().cast("array<string>")), F.coalesce(inner, F.array().cast("array<string>")))
-    x = once(x.withColumn("_t", _woven(texts, engine)))
+    x = once(bodies.withColumn("_t", _woven(texts, engine)))
     first = 1 if "system" in bodies.columns else 0
     n = F.size("messages")
     before = lambda i: F.aggregate(F.slice("messages", 1, i), F.lit(0), lambda a, m: a + F.greatest(F.coalesce(F.size(m["blocks"]), F.lit(0)), F.lit(0)))
@@ -95,7 +94,7 @@ def compress_bodies(bodies: DataFrame, engine: str = SYNTAX) -> DataFrame:
     x = x.withColumn("_m", F.when(F.col("messages").isNotNull(), new))
     if first:
         x = x.withColumn("system", F.get("_t", F.lit(0)))
-    return x.withColumn("messages", F.col("_m")).drop("_m", "_t", "_id")
+    return x.withColumn("messages", F.col("_m")).drop("_m", "_t")
 
 
 def _woven(texts, engine: str) -> Column:

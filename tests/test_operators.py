@@ -155,7 +155,7 @@ def test_fences(spark):
     m = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r for r in messages.compress_text(m, engine="lines").collect()}
     first = messages.compress_text(m).where("i = 0").first()  # by syntax
-    assert first.text == "see\n```ts src/foo.ts\nOUT FN:f(a, b)\n  RET a\n```\nend" and first.blocks_compressed == 1
+    assert first.text == "see\n```ts src/foo.ts\nOUT FN:f(a, b)\n    RET a\n```\nend" and first.blocks_compressed == 1
     assert got[0].text == "see\n```ts src/foo.ts\nOUT FN:f(a,b)\n  RET a\n```\nend" and got[0].blocks_compressed == 1
     assert got[1].blocks_compressed == 1 and got[0].raw_tokens > got[0].ir_tokens
     assert all(got[i].text == texts[i] and got[i].blocks_compressed == 0 for i in (2, 3, 4, 5))
