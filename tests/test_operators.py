@@ -56,6 +56,25 @@ def test_interval_join_equals_cross_join(spark, hours):
     assert {tuple(x) for x in risk.followup_links(t, hours).collect()} == want
 
 
+@pytest.mark.parametrize("hours", [1, 30, 72])
+def test_broken_without_links(spark, hours, monkeypatch):
+    import random
+
+    r = random.Random(hours)
+    rows = [(i, None if i % 20 == 0 else f"h{r.randint(0, 60)}", "A", None if i % 17 == 0 else f"f{r.randint(0, 5)}", r.choice(["fix: a", "feat", "feat"]), r.randint(-40, 80) * 3600 + r.randint(0, 1), 0) for i in range(120)]
+    t = spark.createDataFrame(rows, TOUCH)
+    want = {x.break_hash for x in risk.followup_links(t, hours).collect()}
+    got = [x.break_hash for x in risk.broken(t, hours).collect()]
+    assert set(got) == want and len(got) == len(want)
+    ft = [x for x in risk.file_touches(t).collect()]
+    hit = {(x.hash, x.file, x.second): any(y.is_fix and y.file == x.file and 0 < y.second - x.second <= hours * 3600 for y in ft if x.file is not None) for x in ft}
+    assert {(x.hash, x.file, x.second): x.mended for x in risk.mended(risk.file_touches(t), hours * 3600).collect()} == hit
+    # strengths, calibration and scores of dense histories make no pairs
+    monkeypatch.setattr(risk, "followup_links", None)
+    s = risk.signal_strengths(t)
+    assert risk.scores(s, risk.calibration(t, s)).count() == len({x.file for x in ft})
+
+
 def test_scores_and_verdicts(spark):
     s = spark.createDataFrame([("f", 1.0, 0.5, 0.0, 0.0), ("g", 0.0, 0.0, 0.0, 0.0)], "file string, revert_match double, hotspot double, fix_ratio double, author_churn double")
     cal = spark.createDataFrame([("revert_match", 40, 20, 0.5, 0.5), ("hotspot", 10, 1, None, 0.3)], "signal string, sample_size long, hits long, precision double, used double")
