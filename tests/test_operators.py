@@ -75,6 +75,34 @@ def test_broken_without_links(spark, hours, monkeypatch):
     assert risk.scores(s, risk.calibration(t, s)).count() == len({x.file for x in ft})
 
 
+@pytest.mark.parametrize("hours", [1, 30, 72])
+def test_ranges_and_counts_hold_all_links(spark, hours, monkeypatch):
+    import random
+
+    r = random.Random(hours)
+    rows = [(i, None if i % 20 == 0 else f"h{r.randint(0, 60)}", "A", None if i % 17 == 0 else f"f{r.randint(0, 5)}", r.choice(["fix: a", "feat", "feat"]), r.randint(-40, 80) * 3600 + r.randint(0, 1), 0) for i in range(160)]
+    t = spark.createDataFrame(rows, TOUCH)
+    got = [x.asDict() for x in risk.link_ranges(t, hours).collect()]
+    at = {(x["file"], x["nth"]): x for x in got}
+    assert len(at) == len(got) == risk.file_touches(t).where("hash is not null and file is not null").count()
+    pairs = [(x, at[x["file"], n]) for x in got if x["is_fix"] for n in range(x["first"], x["first"] + x["links"])]
+    assert {(f["hash"], b["hash"]) for f, b in pairs} == {tuple(x) for x in risk.followup_links(t, hours).collect()}
+    later = [(f, b) for f, b in pairs if b["commit_second"] < f["commit_second"]]
+    links = risk.followup_links(t, hours)
+    c = risk.commits(t).select("hash", "second")
+    want = {(x.b, x.bs, x.f, x.fs) for x in links.join(c.toDF("break_hash", "bs"), "break_hash").join(c.toDF("fix_hash", "fs"), "fix_hash").where("bs < fs").select(F.col("break_hash").alias("b"), "bs", F.col("fix_hash").alias("f"), "fs").collect()}
+    assert {(b["hash"], b["commit_second"], f["hash"], f["commit_second"]) for f, b in later} == want and sum(x["events"] for x in got) == len(later)
+    n = {}
+    for b, bs, _, _ in want:
+        n[b, bs] = n.get((b, bs), 0) + 1
+    assert {(x.break_hash, x.break_second): x.n for x in risk.events_of_breaks(t, hours).collect()} == n
+    monkeypatch.setattr(risk, "events", None)
+    ordered = sorted(want, key=lambda x: (x[1], x[0], x[2]))
+    for k in (7, 100_000):
+        some = sorted({i * len(ordered) // k for i in range(k)})
+        assert sorted(tuple(x) for x in risk.sample_events(t, k, hours).collect()) == sorted(ordered[i] for i in some)
+
+
 def test_scores_and_verdicts(spark):
     s = spark.createDataFrame([("f", 1.0, 0.5, 0.0, 0.0), ("g", 0.0, 0.0, 0.0, 0.0)], "file string, revert_match double, hotspot double, fix_ratio double, author_churn double")
     cal = spark.createDataFrame([("revert_match", 40, 20, 0.5, 0.5), ("hotspot", 10, 1, None, 0.3)], "signal string, sample_size long, hits long, precision double, used double")
