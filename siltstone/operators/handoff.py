@@ -30,9 +30,10 @@ def risk_files(changed: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def set_hash(df: DataFrame, *columns: str) -> DataFrame:
-    """(hash): one hash of all rows in the order of the columns; rows are hashed first, so that what is gathered is short."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
-    return df.select(row.alias("h")).agg(sha12(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("hash"))
+    """(hash): one hash of all rows in the order of the columns; rows are hashed first and gathered as 32 bytes each, whose order is that of their digits."""
+    row = F.unhex(F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256))
+    digits = F.transform(F.sort_array(F.collect_list("h")), lambda b: F.lower(F.hex(b)))
+    return df.select(row.alias("h")).agg(sha12(F.array_join(digits, "")).alias("hash"))
 
 
 def handoff_hashes(prefix: DataFrame, delta: DataFrame, prefix_columns, delta_columns) -> DataFrame:

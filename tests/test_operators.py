@@ -168,6 +168,18 @@ def test_first_fit_equals_a_fold(spark, budget):
     assert got == _fold(costs, budget)
 
 
+def test_set_hash_gathers_bytes(spark):
+    import hashlib
+
+    from siltstone.operators import handoff
+
+    df = spark.createDataFrame([(f"p{i}", i) for i in range(300)], "a string, b int")
+    digits = sorted(hashlib.sha256(f"p{i}\x1f{i}".encode()).hexdigest() for i in range(300))
+    got = handoff.set_hash(df, "a", "b")
+    assert got.first().hash == hashlib.sha256("".join(digits).encode()).hexdigest()[:12]
+    assert "unhex" in got._jdf.queryExecution().toString()
+
+
 def test_pack(spark):
     big = "\n".join(f"function g{i}(a, b) {{\n  return a + {i};\n}}" for i in range(30))
     f = _files(spark, ("a.ts", big), ("b.ts", 'import { x } from "./a"\nfunction h() {\n  // a comment of many words here\n  // and one more of them\n}'), ("c.ts", "function k() {\n}\n"))
