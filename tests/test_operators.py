@@ -168,6 +168,24 @@ def test_first_fit_equals_a_fold(spark, budget):
     assert got == _fold(costs, budget)
 
 
+def test_layers_of_a_pack_are_made_once(spark, monkeypatch, sf):
+    from siltstone.plans import catalog
+
+    made, old = [], packing.with_layers
+    for module in (packing, catalog.lines):
+        monkeypatch.setattr(module, "with_layers", lambda *a: made.append(1) or old(*a))
+    entries, s = catalog._pack_large(spark, sf)
+    assert len(made) == 1 and s.first().total_tokens == sum(r.tokens for r in entries.select("tokens").collect())
+
+
+def test_patterns_only_where_the_name_is(spark):
+    f = _files(spark, ("a.ts", "Run5(1)"), ("b.ts", "x = 'run-5'"), ("run_5.ts", ""), ("c.ts", "type Run5 = 1"), ("d.ts", None))
+    found = lambda df: [tuple(r)[1:] for r in packing.resolve_target(df, "run-5").collect()]
+    assert found(f) == [("c.ts", "declaration")] and found(f.where("path <> 'c.ts'")) == [("run_5.ts", "filename")]
+    assert found(f.where("path < 'b.z'")) == [("b.ts", "reference")] and found(f.where("path = 'a.ts'")) == []
+    assert "contains(code" in packing.resolve_target(f, "run-5")._jdf.queryExecution().toString().lower()
+
+
 def test_set_hash_gathers_bytes(spark):
     import hashlib
 
