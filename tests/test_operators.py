@@ -300,3 +300,34 @@ def test_streams(spark, tmp_path):
     q = live.debounce_stream(live.watch(spark, str(folder)), "10 seconds").writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.n for r in spark.sql("SELECT n FROM bursts").collect()] == [2]
+
+
+def test_controls_and_signals_of_all_events(spark):
+    """Every event's controls and signals follow from the rows, not those of 50 only."""
+    import random
+
+    r = random.Random(5)
+    t = touches(spark, [(f"c{r.randint(0, 150)}", r.choice("abc"), f"f{r.randint(0, 12)}", r.choice(["fix: x", "feat: y"]), r.randint(0, 40)) for _ in range(400)])
+    ft = [tuple(x) for x in risk.file_touches(t).select("hash", "file", "second", "is_fix").collect()]
+    events = [tuple(x) for x in risk.events(t).collect()]
+    assert len(events) > 200
+    rows = {}
+    for x in sorted(risk.control_sample(t, rows=40).collect(), key=lambda x: (x.break_hash, x.nth)):
+        rows.setdefault((x.break_hash, x.break_second), []).append((x.file, x.second))
+    assert set(rows) == {(b, s) for b, s, _, _ in events}
+    steps = [tuple(x) for x in risk.time_travel(t).collect()]
+    for b, at, f, _ in events:
+        fixed = {file for h, file, _, _ in ft if h == f}
+        latest = {}
+        for _, file, s, _ in ft:
+            if s <= at:
+                latest[file] = max(s, latest.get(file, s))
+        want = sorted(((x, s) for x, s in latest.items() if x not in fixed), key=lambda x: (-x[1], x[0]))[: min(len(fixed), 5)]
+        assert [x for x in rows[b, at] if x[0] not in fixed][: min(len(fixed), 5)] == want
+    for b, at, file in {(b, at, file) for b, at, f, _ in events for h, file, _, _ in ft if h == f}:
+        seen = sorted(((-s, h, fix) for h, x, s, fix in ft if x == file and s <= at))
+        held = max((s for s in steps if s[0] == file and s[1] <= at), key=lambda s: s[1], default=None)
+        assert (held is None) == (not seen)
+        if seen:
+            ratio = sum(fix for *_, fix in seen[:30]) / len(seen[:30])
+            assert held[2:] == pytest.approx((min(1, sum(-s >= at - 604800 for s, *_ in seen) / 30), min(1, max(0, (ratio - 0.3) / 0.5))))
