@@ -146,3 +146,13 @@ def test_merges(spark):
     assert got[:3] == ["USE:[a, b, c, d]", "X", "USE:e"] and len(got) == 8
     got = [r.line for r in L.merge_guards(ir).orderBy("ord").collect()]
     assert got[6:] == ["  GUARD:[a → 1, b → THROW:x, c → RET]", "Y", "IF:d → RET 2"]
+
+
+def test_collapsed_text_is_made_once_a_row(spark):
+    """Not anew for each literal: time would grow with their number times the text."""
+    from siltstone.operators.syntax import telling
+
+    texts = ["x = 'a'", "", "  f(" + ", ".join(f'"k{i % 90}"' for i in range(400)) + ")\n  ;", "y" * 80, None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.collapse_expr("t", 60).alias("s"))
+    assert {r.t: r.s for r in df.collect()} == {x: telling(x, 60) if x is not None else None for x in texts}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 3
