@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import annotate, col
 from siltstone.operators.lines import fingerprint_plain
-from siltstone.plans.dialect import SparkText, trim
+from siltstone.plans.dialect import SparkText, compiled, trim
 
 _COUNT = "(?:,[0-9]+)?"
 HUNK = "^@@ -[0-9]+" + _COUNT + " [+]([0-9]+)" + _COUNT + " @@"
@@ -36,6 +37,40 @@ def hunks(diff: DataFrame) -> DataFrame:
     return g.select("file", F.col("hunk_no").cast("int"), "start_line", (F.col("start_line") + F.coalesce("grown", F.lit(0))).cast("int").alias("end_line"), "added", "removed", "context")
 
 
+def text_hunks(lines: list[str]) -> list[dict]:
+    """hunks() of one diff, given as its lines."""
+    out, h = [], None
+    for line in lines:
+        if m := compiled(HUNK).search(line):
+            h = {"hunk_no": len(out) + 1, "start_line": int(m[1]), "end_line": int(m[1]), "added": [], "removed": [], "context": []}
+            out.append(h)
+        elif h is not None:
+            part = "added" if line.startswith("+") and not line.startswith("+++") else "removed" if line.startswith("-") and not line.startswith("---") else "context" if line.startswith(" ") else None
+            if part:
+                h[part].append(line[1:])
+                h["end_line"] += part != "removed"
+    return out
+
+
+def hunks_of_files(diffs: DataFrame, *parts: str) -> DataFrame:
+    """(file, hunk_no, start_line, end_line and the parts) of diffs (file, lines), a row a file, so that no line is moved.
+
+    Parts are those of hunks() and delta_context(): added, removed, context, changed and surrounding_ir.
+    """
+    made = {"changed": lambda h: h["added"] + h["removed"], "surrounding_ir": lambda h: fingerprint_plain(h["context"])}
+    ints, text, texts = ["hunk_no", "start_line", "end_line"], pa.string(), pa.list_(pa.string())
+
+    def run(batches):
+        for b in batches:
+            rows = [(f, h) for f, x in zip(b["file"].to_pylist(), b["lines"].to_pylist()) for h in text_hunks(x)]
+            cols = [pa.array([f for f, _ in rows], text)] + [pa.array([h[c] for _, h in rows], pa.int32()) for c in ints]
+            cols += [pa.array([made[c](h) if c in made else h[c] for _, h in rows], text if c == "surrounding_ir" else texts) for c in parts]
+            yield pa.RecordBatch.from_arrays(cols, ["file", *ints, *parts])
+
+    kinds = [f"{c} {'string' if c == 'surrounding_ir' else 'array<string>'}" for c in parts]
+    return diffs.select("file", "lines").mapInArrow(run, ", ".join(["file string", *(c + " int" for c in ints), *kinds]))
+
+
 def context_ir(context) -> Column:
     """Context lines as IR, noise left out; in an Arrow UDF, so not inside of a lambda."""
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import sha12, token_count
-from siltstone.operators.lines import DEEP, SYNTAX, extension, l1
+from siltstone.functions.text import sha12
+from siltstone.operators.lines import DEEP, SYNTAX, extension, made
 
 TOP = 8
 
@@ -18,10 +18,15 @@ def top_hotspots(hotspots: DataFrame, k: int = TOP) -> DataFrame:
 
 def changed_files(status: DataFrame, files: DataFrame, engine: str = SYNTAX) -> DataFrame:
     """(path, status, hash, tokens, ir) of changed files in deep languages; deleted and missing ones have nothing in them."""
-    x = status.where(extension("path").isin(*DEEP)).join(files.select("path", "code"), "path", "left")
+    return changed_rows(status.where(extension("path").isin(*DEEP)).join(files.select("path", "code"), "path", "left"), engine)
+
+
+def changed_rows(x: DataFrame, engine: str = SYNTAX) -> DataFrame:
+    """changed_files() of rows (path, status, code), which needs no join."""
+    x = x.where(extension("path").isin(*DEEP))
     gone = (F.col("status") == "deleted") | F.col("code").isNull()
-    x = x.withColumn("ir", F.when(gone, "").otherwise(l1("path", "code", engine)))
-    return x.select("path", "status", F.when(gone, "").otherwise(sha12("code")).alias("hash"), token_count("ir").alias("tokens"), "ir")
+    x = x.withColumn("_f", made("path", F.when(~gone, F.col("code")), engine, "l1", "l1_tokens"))  # nothing is made of what is gone
+    return x.select("path", "status", F.when(gone, "").otherwise(sha12("code")).alias("hash"), F.col("_f.l1_tokens").alias("tokens"), F.coalesce("_f.l1", F.lit("")).alias("ir"))
 
 
 def risk_files(changed: DataFrame, top: DataFrame) -> DataFrame:

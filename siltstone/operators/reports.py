@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import LITERAL, dollars
-from siltstone.operators.lines import BY_LINES, DEEP, GENERIC, SYNTAX, UNSUPPORTED, extension, is_generic, language, with_layers
+from siltstone.operators.lines import BY_LINES, DEEP, GENERIC, SYNTAX, UNSUPPORTED, extension, is_generic, language
+from siltstone.operators.lines import made as made_of_file
 
 
 def benchmark_files(files: DataFrame, engine: str = SYNTAX) -> DataFrame:
@@ -15,7 +16,7 @@ def benchmark_files(files: DataFrame, engine: str = SYNTAX) -> DataFrame:
     ``engine`` is AST or FP (lines in place of a syntax that gave nothing),
     LINES where only lines are asked for, GENERIC or NONE.
     """
-    x = with_layers(files.select("path", "code"), engine)
+    x = files.select("path", made_of_file("path", "code", engine, "raw_tokens", "l0_tokens", "l1_tokens", "made_by").alias("_f")).select("path", "_f.*")
     made = F.lit("LINES") if engine == BY_LINES else F.col("made_by")
     engine = F.when(is_generic("path"), "GENERIC").when(language("path").isNotNull(), made).otherwise("NONE")
     saved = F.when(F.col("raw_tokens") > 0, (F.col("raw_tokens") - F.col("l1_tokens")) / F.col("raw_tokens") * 100).otherwise(0.0)

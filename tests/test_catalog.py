@@ -94,3 +94,76 @@ def test_plain_rules_equal_columns(spark):
     for r in df.collect():
         line = r.raw.strip(lines._EDGE)
         assert (line, *lines.ruled(line), lines._declared(line), lines._kind(lines.first_token(Plain, r.raw))) == (r.t, r.r, r.ir, r.g, r.k), r.raw
+
+
+ODD = "import a from 'a'\n\nimport {b} from 'b'\nconst c = require('c')\nimport d from 'd'\nimport e from 'e'\nif (a) return 1;\nif (b) return 2;\n// z\nif (c) return x -> y;\nfoo\nif (d) return\n  if (e) return 5;"
+
+
+def test_runs_in_a_file_equal_runs_of_rows(spark, sf):
+    """Imports and guards are merged in the file's row, with no shuffle but that of the keys."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import lines
+
+    files = catalog.S.code_files(spark, sf).select("path", "code").union(spark.createDataFrame([("odd.ts", ODD), ("e.ts", ""), ("n.ts", None)], "path string, code string"))
+    rows = files.select("path", F.posexplode(F.split("code", "\n")).alias("p", "raw")).select("path", (F.col("p") + 1).alias("line_no"), "raw")
+    ir = lines.fingerprint_lines(rows).where("ir <> ''").select("path", F.col("line_no").alias("ord"), F.regexp_replace("ir", " -> ", " → ").alias("line"))
+    for kind, whole in (("imports", lines.merge_imports), ("guards", lines.merge_guards)):
+        assert sorted(map(tuple, lines.merged(files, kind).collect())) == sorted(map(tuple, whole(ir).collect()))
+    for name in ("use_merge", "guard_merge", "diff_hunks", "delta_context", "syntax_handoff_delta"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Window" not in plan and "Join" not in plan, name
+
+
+def test_hunks_of_files_equal_those_of_rows(spark, sf):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import deltas
+
+    odd = spark.createDataFrame([("a", ["x", "@@ -1 +2 @@", "+a", "+++b", "---c", "-d", "", "\\", " return x;", "@@ -1,2 +9,3 @@ f", "@@ -3 +4 @@"]), ("b", ["+a"]), ("c", [])], "file string, lines array<string>")
+    x = catalog.S.diff_files(spark, sf).union(odd)
+    rows = x.select("file", F.posexplode("lines").alias("line_no", "line"))
+    for parts, whole in ((("added", "removed", "context"), deltas.hunks), (("changed", "surrounding_ir"), deltas.delta_context)):
+        assert sorted(map(tuple, deltas.hunks_of_files(x, *parts).collect())) == sorted(map(tuple, whole(rows).collect()))
+    assert sorted(map(tuple, catalog.S.diffs(spark, sf).collect())) == sorted((r.file, i, t) for r in catalog.S.diff_files(spark, sf).collect() for i, t in enumerate(r.lines, 1))
+
+
+def test_only_changed_files_are_walked(spark, sf):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import handoff, syntax
+
+    x = catalog.S.code_files(spark, sf).where("ext = '.ts'").select("path", "code")
+    y = x.withColumn("code", F.regexp_replace("code", r"function run(\d*5)\b", "function walk$1"))
+    got = catalog.QUERIES["symbol_diff"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, syntax.symbol_diff(x, y).collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    status = catalog._status(spark, sf)
+    want = handoff.changed_files(status.select("path", "status"), status.select("path", "code"))
+    assert sorted(map(tuple, catalog.QUERIES["syntax_handoff_delta"](spark, sf).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tasks_have_few_files(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog.S, "FILES_A_TASK", 100)
+    n = catalog.S.table(spark, sf, "orders").count()
+    assert n > 1000 and catalog.S.code_files(spark, sf).rdd.getNumPartitions() >= n / 100
+
+
+def test_truncated_pack_makes_maps_only(spark, monkeypatch):
+    from siltstone.operators import packing
+
+    files = spark.createDataFrame([(f"s/f{i}.ts", i, f"function g{i}(x) {{\n  return x\n}}\n" * (i % 3 + 1)) for i in range(50)], "path string, file_ord long, code string")
+    monkeypatch.setattr(packing, "with_layers", None)
+    entries, summary = packing.pack(files, 200)
+    got, left = {r.path: r for r in entries.collect()}, 200
+    from siltstone.operators import lines
+
+    for r in sorted(files.collect(), key=lambda r: r.file_ord):
+        text = lines.l0_of(r.path, r.code)
+        n = len(lines.compiled(catalog.T.TOKEN).findall(text))
+        assert (r.path in got) == (n <= left)
+        if n <= left:
+            left -= n
+            assert tuple(got[r.path]) == (r.path, "L0", text, n, False)
+    s = summary.first()
+    assert (s.total_tokens, s.files_at_l0, s.truncated, s.missing) == (200 - left, len(got), True, False)
